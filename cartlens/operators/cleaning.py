@@ -50,9 +50,13 @@ def fill_constants(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     return df.fillna(dict(values))
 
 
-def fill_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Put the column's exact median in place of missing values; numeric columns come out as double."""
-    medians = F.broadcast(exact_quantiles(df, {f"_median_{c}": (c, 0.5) for c in columns}))
+def fill_medians(df: DataFrame, columns: Sequence[str], repeatable: bool | None = None) -> DataFrame:
+    """Put the column's exact median in place of missing values; numeric columns come out as double.
+
+    ``repeatable`` says that the values are read or parsed and not sums of floating-point numbers.
+    """
+    wanted = {f"_median_{c}": (c, 0.5) for c in columns}
+    medians = F.broadcast(exact_quantiles(df, wanted, repeatable=repeatable))
     filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"_median_{c}")) for c in columns}
     return df.crossJoin(medians).withColumns(filled).select(*df.columns)
 

@@ -77,7 +77,7 @@ def ordered_scan(
 
     # What each partition holds: at most one row per partition, or per group and partition.
     head, ascending = order[0]
-    per_part = [F.count(F.lit(1)).alias("_n")]
+    per_part = [F.count(F.lit(1)).alias("_rows")]
     for name in {**running, **totals}:
         per_part.append(F.coalesce(F.sum(name), F.lit(0)).alias(f"_sum_{name}"))
     if dense:
@@ -97,9 +97,9 @@ def ordered_scan(
     by_part = Window.partitionBy(*within).orderBy(PART)
     earlier = by_part.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*within)
-    offsets = [F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off_n")]
+    offsets = [F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_before")]
     if rows_total:
-        offsets.append(F.sum("_n").over(everything).alias(rows_total))
+        offsets.append(F.sum("_rows").over(everything).alias(rows_total))
     for name in running:
         offsets.append(F.coalesce(F.sum(f"_sum_{name}").over(earlier), F.lit(0)).alias(f"_off_{name}"))
     for name, alias in totals.items():
@@ -113,7 +113,7 @@ def ordered_scan(
         offsets.append(
             (
                 F.coalesce(F.sum("_values").over(earlier), F.lit(0)) - F.sum("_shared").over(upto)
-            ).alias("_off_dense")
+            ).alias("_values_before")
         )
     for name in carry:
         offsets.append(F.last(f"_tail_{name}", ignorenulls=True).over(earlier).alias(f"_off_tail_{name}"))
@@ -126,9 +126,10 @@ def ordered_scan(
     out = ranged.join(offsets_df, [*within, PART])
     added: list[Column] = []
     if row:
-        added.append((F.row_number().over(local) + F.col("_off_n")).cast("long").alias(row))
+        added.append((F.row_number().over(local) + F.col("_rows_before")).cast("long").alias(row))
     if dense:
-        added.append((F.dense_rank().over(local) + F.col("_off_dense")).cast("long").alias(dense))
+        by_value = Window.partitionBy(PART, *within).orderBy(sort[0])
+        added.append((F.dense_rank().over(by_value) + F.col("_values_before")).cast("long").alias(dense))
     for name, alias in running.items():
         summed = F.coalesce(F.sum(name).over(so_far), F.lit(0)) + F.col(f"_off_{name}")
         added.append(F.when(F.col(name).isNotNull(), summed).alias(alias))

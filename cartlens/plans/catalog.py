@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from cartlens.plans import metric_queries  # noqa: F401
+from cartlens.plans import chart_queries, cleaning_queries, metric_queries  # noqa: F401
 from cartlens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

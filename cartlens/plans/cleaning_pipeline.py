@@ -13,6 +13,39 @@ from cartlens.operators import cleaning, quality
 from cartlens.staging import stage
 
 
+def clean_orders(orders: DataFrame, seq_col: str = "seq") -> DataFrame:
+    """Timestamps parsed, exact copies removed."""
+    orders = cleaning.coerce_timestamps(orders, schemas.ORDER_DATE_COLUMNS)
+    return cleaning.drop_exact_duplicates(orders, seq_col)
+
+
+def clean_products(products: DataFrame, seq_col: str = "seq") -> DataFrame:
+    """Category and numbers filled, exact copies removed. The medians are taken before that removal."""
+    products = cleaning.fill_constants(products, {"product_category_name": "unknown"})
+    products = cleaning.coerce_numbers(products, schemas.PRODUCT_NUMERIC_COLUMNS)
+    products = cleaning.fill_medians(products, schemas.PRODUCT_NUMERIC_COLUMNS, repeatable=True)
+    return cleaning.drop_exact_duplicates(products, seq_col)
+
+
+def first_per_key(name: str, df: DataFrame, seq_col: str = "seq") -> DataFrame:
+    """First row per primary key of a dimension."""
+    return cleaning.keep_first(df, schemas.PRIMARY_KEYS[name], seq_col)
+
+
+def keyed_facts(name: str, df: DataFrame, order: Sequence[str], seq_col: str = "seq") -> DataFrame:
+    """A fact table without exact copies and with its surrogate key."""
+    facts = cleaning.drop_exact_duplicates(df, seq_col)
+    return cleaning.surrogate_key(facts, order, schemas.PRIMARY_KEYS[name])
+
+
+def clean_reviews(reviews: DataFrame, order: Sequence[str], seq_col: str = "seq") -> DataFrame:
+    """Times parsed, texts filled, keys given, then the latest review per order."""
+    reviews = cleaning.coerce_timestamps(reviews, schemas.REVIEW_DATE_COLUMNS)
+    reviews = cleaning.fill_constants(reviews, {c: "" for c in schemas.REVIEW_TEXT_COLUMNS})
+    reviews = keyed_facts("reviews", reviews, order, seq_col)
+    return cleaning.keep_latest(reviews, "order_id", "review_answer_timestamp", "review_key")
+
+
 def clean_tables(
     tables: Mapping[str, DataFrame],
     seq_col: str = "seq",
@@ -22,31 +55,20 @@ def clean_tables(
 
     ``key_order`` names the columns that order the surrogate keys; by default it is ``seq_col``.
     """
-    key_order = key_order or {}
-    work = dict(tables)
-    work["orders"] = cleaning.coerce_timestamps(work["orders"], schemas.ORDER_DATE_COLUMNS)
-    work["reviews"] = cleaning.coerce_timestamps(work["reviews"], schemas.REVIEW_DATE_COLUMNS)
-    work["reviews"] = cleaning.fill_constants(
-        work["reviews"], {c: "" for c in schemas.REVIEW_TEXT_COLUMNS}
-    )
-    products = cleaning.fill_constants(work["products"], {"product_category_name": "unknown"})
-    products = cleaning.coerce_numbers(products, schemas.PRODUCT_NUMERIC_COLUMNS)
-    work["products"] = cleaning.fill_medians(products, schemas.PRODUCT_NUMERIC_COLUMNS)
-
-    work = {name: cleaning.drop_exact_duplicates(df, seq_col) for name, df in work.items()}
-
-    for name in ("products", "customers", "sellers", "category_translation"):
-        work[name] = cleaning.keep_first(work[name], schemas.PRIMARY_KEYS[name], seq_col)
-
-    for name in ("order_items", "payments", "reviews"):
-        order = key_order.get(name, [seq_col])
-        work[name] = cleaning.surrogate_key(work[name], order, schemas.PRIMARY_KEYS[name])
-
-    work["geolocation"] = cleaning.normalize_geolocation(work["geolocation"], seq_col=seq_col)
-    work["reviews"] = cleaning.keep_latest(
-        work["reviews"], "order_id", "review_answer_timestamp", "review_key"
-    )
-    return {name: df.drop(seq_col) for name, df in work.items()}
+    order = {name: [seq_col] for name in ("order_items", "payments", "reviews")} | dict(key_order or {})
+    out = {
+        "orders": clean_orders(tables["orders"], seq_col),
+        "products": first_per_key("products", clean_products(tables["products"], seq_col), seq_col),
+        "reviews": clean_reviews(tables["reviews"], order["reviews"], seq_col),
+    }
+    for name in ("customers", "sellers", "category_translation"):
+        unique = cleaning.drop_exact_duplicates(tables[name], seq_col)
+        out[name] = first_per_key(name, unique, seq_col)
+    for name in ("order_items", "payments"):
+        out[name] = keyed_facts(name, tables[name], order[name], seq_col)
+    points = cleaning.drop_exact_duplicates(tables["geolocation"], seq_col)
+    out["geolocation"] = cleaning.normalize_geolocation(points, seq_col=seq_col)
+    return {name: df.drop(seq_col) for name, df in out.items()}
 
 
 def staged(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:

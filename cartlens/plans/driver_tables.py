@@ -199,3 +199,78 @@ def geo_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_name").alias("geolocation_state"),
         F.col("c_custkey").alias("seq"),
     )
+
+
+def dirty_marketplace(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The nine raw tables with dirt: text dates and numbers, missing values, copies, repeated keys.
+
+    ``seq`` is the input order.
+    """
+    clean = marketplace(spark, sf_dir)
+    part, orders = table(spark, sf_dir, "part"), table(spark, sf_dir, "orders")
+    pending = F.col("o_orderstatus") == "P"
+    date_text = F.col("o_orderdate").cast("string")
+
+    def numbered(df: DataFrame, n: int) -> DataFrame:
+        return df.withColumn("seq", F.lit(n).cast("long"))
+
+    def twice(df: DataFrame) -> DataFrame:
+        return numbered(df, 1).unionByName(numbered(df, 2))
+
+    weight = F.when(F.col("p_brand") == "Brand#3", "n/a").otherwise(F.col("p_size").cast("string"))
+    numbers = [
+        "product_name_lenght",
+        "product_description_lenght",
+        "product_photos_qty",
+        "product_weight_g",
+        "product_length_cm",
+        "product_height_cm",
+        "product_width_cm",
+    ]
+    products = part.select(
+        F.col("p_partkey").alias("product_id"),
+        F.when(F.col("p_brand") != "Brand#1", F.col("p_type")).alias("product_category_name"),
+        *[weight.alias(c) for c in numbers],
+    )
+    other_products = products.withColumn("product_category_name", F.lit("later copy"))
+
+    def review(days: int, n: int) -> DataFrame:
+        answered = F.col("o_orderdate") + F.expr(f"INTERVAL {days} DAYS")
+        no_text = F.lit(None).cast("string")
+        return numbered(
+            orders.select(
+                F.col("o_orderkey").alias("order_id"),
+                (6 - F.substring("o_orderpriority", 1, 1).cast("int")).alias("review_score"),
+                no_text.alias("review_comment_title"),
+                no_text.alias("review_comment_message"),
+                date_text.alias("review_creation_date"),
+                F.when(pending & F.lit(n == 2), "never").otherwise(answered.cast("string")).alias(
+                    "review_answer_timestamp"
+                ),
+            ),
+            n,
+        )
+
+    return {
+        "customers": twice(clean["customers"]),
+        "sellers": twice(clean["sellers"]),
+        "products": numbered(products, 1).unionByName(numbered(other_products, 2)),
+        "orders": twice(
+            orders.select(
+                F.col("o_orderkey").alias("order_id"),
+                F.col("o_custkey").alias("customer_id"),
+                date_text.alias("order_purchase_timestamp"),
+                F.lit("?").alias("order_approved_at"),
+                F.lit(None).cast("string").alias("order_delivered_carrier_date"),
+                F.when(pending, "soon").otherwise(date_text).alias("order_delivered_customer_date"),
+                (F.col("o_orderdate") + F.expr("INTERVAL 400 DAYS"))
+                .cast("string")
+                .alias("order_estimated_delivery_date"),
+            )
+        ),
+        "order_items": twice(clean["order_items"]),
+        "payments": twice(clean["payments"]),
+        "reviews": review(1, 1).unionByName(review(2, 2)),
+        "geolocation": geo_points(spark, sf_dir),
+        "category_translation": twice(category_translation(spark)),
+    }
