@@ -143,7 +143,7 @@ def treemap_rollup(
             F.sum(color * value).alias("_weighted"),
             F.sum(F.when(color.isNotNull(), value)).alias("_weights"),
         ]
-    leaves = rows.groupBy(*path).agg(*aggs)
+    leaves = stage(rows.groupBy(*path).agg(*aggs), "leaves")
     sums = [F.sum(c).alias(c) for c in leaves.columns if c not in path]
     # grouping_id has one bit per rolled-up column, so depth = path length - number of set bits.
     depth = (F.lit(len(path)) - F.bit_count(F.grouping_id())).cast("long").alias("level")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartlens.functions.aggregates import drop_null_keys, exact_total, mean, pearson, total
 from cartlens.functions.scalars import as_list, month, ratio
 from cartlens.operators.ordered import sort_columns
 from cartlens.operators.revenue import group_aggregate
+from cartlens.staging import stage
 
 
 def correlation_points(
@@ -102,16 +103,16 @@ def compute_payment_summary(
     exact = exact_total(df, value_col).alias("_exact")
     figures = [exact, mean(df, value_col).alias("avg_payment"), F.count(value_col).alias("order_count")]
     types = drop_null_keys(df, [payment_type_col]).groupBy(payment_type_col).agg(*figures)
-    all_types = F.broadcast(types.agg(F.sum("_exact").alias("_total")))
+    # One row per payment type is left here, so the window over all of them is short.
+    all_types = F.sum("_exact").over(Window.partitionBy())
     revenue = F.col("_exact").cast("double")
     by_type = (
-        types.crossJoin(all_types)
-        .select(
+        types.select(
             payment_type_col,
             revenue.alias("total_revenue"),
             "avg_payment",
             "order_count",
-            (ratio(revenue, F.col("_total")) * 100).alias("revenue_share_pct"),
+            (ratio(revenue, all_types) * 100).alias("revenue_share_pct"),
         )
         .orderBy(*sort_columns([("total_revenue", False), (payment_type_col, True)]))
     )
@@ -176,7 +177,8 @@ def compute_market_opportunity(
 ) -> DataFrame:
     """Regions with revenue per customer at or above the median and fewer customers than the median.
 
-    The input of the medians is one row per geographic region, a small set.
+    The input of the medians is one row per geographic region, a small set; it is written once because the
+    medians and the flags both read it.
     """
     regions = (
         drop_null_keys(df, [region_col])
@@ -189,6 +191,7 @@ def compute_market_opportunity(
         .withColumn("revenue_per_customer", ratio(F.col("revenue"), F.col("customers")))
         .withColumn("orders_per_customer", ratio(F.col("orders"), F.col("customers")))
     )
+    regions = stage(regions, "regions")
     medians = F.broadcast(
         regions.agg(
             F.percentile("revenue_per_customer", F.lit(0.5)).alias("_median_spend"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartlens.functions.aggregates import drop_null_keys, exact_total, mean
+from cartlens.functions.aggregates import drop_null_keys, exact_total
 from cartlens.functions.scalars import as_list, ratio, ratio_or_zero, strict_timestamp, whole_days
 from cartlens.operators.ordered import global_rank, sort_columns
 
@@ -34,33 +34,38 @@ def compute_delivery_metrics(
 ) -> DataFrame:
     """Delivery statistics as one row, or per group with the slowest group ranked first.
 
-    The median is over whole days, so the value counts behind it stay small in every group.
+    Orders are first counted per group and number of days, which is a plain hash aggregation. The median is
+    then taken over day counts: few values per group, however many orders it has.
     """
-    work = delivered_orders(df, purchase_col, delivery_col, estimated_col)
-    days = [
-        mean(work, "delivery_days").alias("avg_delivery_days"),
-        F.percentile("delivery_days", F.lit(0.5)).alias("median_delivery_days"),
-    ]
-    late = []
-    if estimated_col:
-        late_rate = (mean(work, "is_late") * 100).alias("late_rate_pct")
-        late = [late_rate, mean(work, "delay_days").alias("avg_delay_days")]
-    if group_col is None:
-        if not late:
-            return work.agg(*days)
-        early = F.try_divide(
-            F.sum(F.when(F.col("is_late"), 0).otherwise(1)).cast("double"), F.count("is_late").cast("double")
-        )
-        return work.agg(*days, late[0], (early * 100).alias("early_rate_pct"), late[1])
     keys = as_list(group_col)
-    grouped = (
-        drop_null_keys(work, keys)
-        .groupBy(*keys)
-        .agg(*days, F.count("delivery_days").alias("order_count"), *late)
-    )
+    work = drop_null_keys(delivered_orders(df, purchase_col, delivery_col, estimated_col), keys)
+    counts = [F.count(F.lit(1)).alias("_orders")]
+    if estimated_col:
+        counts += [
+            F.sum(F.col("is_late").cast("long")).alias("_late"),
+            F.sum("delay_days").alias("_delay"),
+            F.count("delay_days").alias("_estimated"),
+        ]
+    per_day = work.groupBy(*keys, "delivery_days").agg(*counts)
+
+    orders = F.sum("_orders")
+    figures = {
+        "avg_delivery_days": ratio(F.sum(F.col("delivery_days") * F.col("_orders")), orders),
+        "median_delivery_days": F.percentile("delivery_days", F.lit(0.5), F.col("_orders")),
+    }
+    if keys:
+        figures["order_count"] = orders
+    if estimated_col:
+        figures["late_rate_pct"] = ratio(F.sum("_late"), orders) * 100
+        if not keys:
+            figures["early_rate_pct"] = ratio(orders - F.sum("_late"), orders) * 100
+        figures["avg_delay_days"] = ratio(F.sum("_delay"), F.sum("_estimated"))
+    result = per_day.groupBy(*keys).agg(*[column.alias(name) for name, column in figures.items()])
+    if not keys:
+        return result
     order = [("avg_delivery_days", False), *[(k, True) for k in keys]]
     # The averages are quotients of whole numbers and come out the same on every run.
-    return global_rank(grouped, order, repeatable=True)
+    return global_rank(result, order, repeatable=True)
 
 
 def compute_freight_ratio(

@@ -64,16 +64,14 @@ def ordered_scan(
         repeatable = not _floating(df, [name for name, _ in order])
     if not repeatable:
         df = stage(df, "input")
-    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sort = sort_columns(order)
     columns = df.columns
 
-    ranged = stage(
-        df.repartitionByRange(partitions, *[F.asc(k) for k in within], *sort).withColumn(
-            PART, F.spark_partition_id()
-        ),
-        "ranged",
-    )
+    # Without a number AQE merges neighbouring ranges up to its advisory size: small inputs become a few
+    # files, large ones keep spark.sql.shuffle.partitions ranges.
+    keys = [*[F.asc(k) for k in within], *sort]
+    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    ranged = stage(ranged.withColumn(PART, F.spark_partition_id()), "ranged")
 
     # What each partition holds: at most one row per partition, or per group and partition.
     head, ascending = order[0]

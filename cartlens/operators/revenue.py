@@ -72,7 +72,7 @@ def group_aggregate(df: DataFrame, keys: Sequence[str], agg_map: Mapping[str, Ag
     if not medians:
         return rows.groupBy(*keys).agg(*plain)
     grouped = rows.groupBy(*keys).agg(*plain) if plain else rows.select(*keys).distinct()
-    quantiles = exact_quantiles(rows, medians, by=keys, repeatable=True)
+    quantiles = exact_quantiles(rows, medians, by=keys)
     return grouped.join(quantiles, keys, "left").select(*keys, *agg_map)
 
 
@@ -101,7 +101,6 @@ def aggregate_by(
     order = [(rank_col, ascending), *[(k, True) for k in keys if k != rank_col]]
     if top_n is not None and top_n <= SMALL_CUT:
         dense = F.dense_rank().over(Window.orderBy(*sort_columns(order[:1]))).cast("long")
-        # Every row must be seen by the missing-value check, also those beyond the cut.
         return top_rows(result, order, top_n).withColumn("rank", dense)
     ranked = ordered_scan(result, order, dense="rank", row="_row" if top_n is not None else None)
     if top_n is not None:

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartlens.functions.aggregates import exact_total
 from cartlens.functions.scalars import month, ratio
 from cartlens.operators.ordered import ordered_scan, sort_columns
 from cartlens.operators.revenue import group_aggregate
@@ -128,10 +127,10 @@ def compute_monthly_revenue_rank(df: DataFrame, period_col: str, revenue_col: st
 
     The input has one row per month, so the window over it is short.
     """
-    totals = F.broadcast(df.agg(exact_total(df, revenue_col).alias("_total")))
     order = [(revenue_col, False), (period_col, True)]
-    return df.crossJoin(totals).select(
+    total_revenue = F.sum(revenue_col).over(Window.partitionBy())
+    return df.select(
         *df.columns,
-        (ratio(F.col(revenue_col), F.col("_total")) * 100).alias("revenue_contribution_pct"),
+        (ratio(F.col(revenue_col), total_revenue) * 100).alias("revenue_contribution_pct"),
         F.row_number().over(Window.orderBy(*sort_columns(order))).cast("long").alias("rank"),
     )

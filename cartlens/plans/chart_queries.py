@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartlens.operators import charts, revenue, series
-from cartlens.plans.metric_queries import DATE, items
+from cartlens.plans.metric_queries import DATE, items, sums
 from cartlens.plans.registry import FLAT, dbl, query, rounded, sql_mean
 
 PRODUCT_SALES = "p AS (SELECT product_id, sum(price) AS r, count(*) AS units FROM flat GROUP BY 1)"
@@ -38,7 +38,7 @@ def bottom_n_by(spark, sf_dir):
 SELECT x, 'Revenue' AS series, a AS y FROM m UNION ALL SELECT x, 'Freight', b FROM m""",
 )
 def series_long(spark, sf_dir):
-    frame = items(spark, sf_dir, DATE, "price", "freight_value")
+    frame = sums(spark, sf_dir, DATE, "price", "freight_value")
     monthly = series.compute_monthly_series(frame, DATE, "price", "sum", ["freight_value"])
     return charts.series_long(monthly, "period", ["price", "freight_value"], ["Revenue", "Freight"])
 

@@ -41,8 +41,15 @@ def order_frame(tables: Tables, columns: Sequence[str], how: str = "left") -> Da
     return _attach(orders.select(*keep), tables["customers"], "customer_id", wanted, how, all_joins)
 
 
-def flat_order_items(tables: Tables, columns: Sequence[str], how: str = "left") -> DataFrame:
-    """One row per order item with the wanted columns of items, orders, customers, sellers, products."""
+def flat_order_items(
+    tables: Tables, columns: Sequence[str], how: str = "left", additive: Sequence[str] = ()
+) -> DataFrame:
+    """One row per order item with the wanted columns of items, orders, customers, sellers, products.
+
+    ``additive`` names measures of which the caller only wants sums. When the frame needs nothing else from
+    the items than one join key, the measures are summed per key before the join: the sums need the same
+    shuffle as the join, and a key that very many items share leaves each task as one row.
+    """
     wanted = set(columns)
     all_joins = how == "inner"
     items = tables["order_items"]
@@ -56,6 +63,10 @@ def flat_order_items(tables: Tables, columns: Sequence[str], how: str = "left")
     needs["order_id"] = all_joins or bool(from_orders & order_columns)
     keep = [c for c in items.columns if c in wanted or needs.get(c)]
     frame = items.select(*keep)
+    sums = [c for c in keep if c in additive]
+    keys = [c for c in keep if c not in sums]
+    if sums and len(keys) == 1 and needs.get(keys[0]):
+        frame = frame.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
     if needs["order_id"]:
         orders = order_frame(tables, columns, how)
         frame = frame.join(orders.select("order_id", *[c for c in orders.columns if c not in frame.columns]), "order_id", how)

@@ -47,6 +47,13 @@ def items(spark, sf_dir, *columns):
     return flat_order_items(driver.marketplace(spark, sf_dir), columns)
 
 
+def sums(spark, sf_dir, *columns):
+    """The item frame for operators that only add up price and freight."""
+    return flat_order_items(
+        driver.marketplace(spark, sf_dir), columns, additive=["price", "freight_value"]
+    )
+
+
 # Flat frames ---------------------------------------------------------------------------------------------
 
 
@@ -192,7 +199,7 @@ def aggregate_by_stats(spark, sf_dir):
 
 
 def monthly(spark, sf_dir, agg="sum", column="price", extra=()):
-    frame = items(spark, sf_dir, DATE, column, *extra)
+    frame = (sums if agg == "sum" else items)(spark, sf_dir, DATE, column, *extra)
     return series.compute_monthly_series(frame, DATE, column, agg, list(extra))
 
 
@@ -326,14 +333,14 @@ def revenue_share(spark, sf_dir):
 
 @query("revenue_share_topn", share_sql("customer_id", "WHERE rk <= 20"))
 def revenue_share_topn(spark, sf_dir):
-    frame = items(spark, sf_dir, "customer_id", "price")
+    frame = sums(spark, sf_dir, "customer_id", "price")
     return revenue.compute_revenue_share(frame, "customer_id", "price", top_n=20)
 
 
 @query("revenue_share_multi", share_sql("customer_state,product_category_name"))
 def revenue_share_multi(spark, sf_dir):
     keys = ["customer_state", "product_category_name"]
-    return revenue.compute_revenue_share(items(spark, sf_dir, *keys, "price"), keys, "price")
+    return revenue.compute_revenue_share(sums(spark, sf_dir, *keys, "price"), keys, "price")
 
 
 PARETO_EXTRA = f", {CUMULATIVE} AS cumulative_share_pct"
@@ -341,7 +348,7 @@ PARETO_EXTRA = f", {CUMULATIVE} AS cumulative_share_pct"
 
 @query("pareto", share_sql("customer_id", extra=PARETO_EXTRA))
 def pareto(spark, sf_dir):
-    return revenue.compute_pareto(items(spark, sf_dir, "customer_id", "price"), "customer_id", "price")
+    return revenue.compute_pareto(sums(spark, sf_dir, "customer_id", "price"), "customer_id", "price")
 
 
 @query("pareto_flagged", share_sql("product_id", extra=f"{PARETO_EXTRA}, {CUMULATIVE} <= 80 AS within_80"))
@@ -360,7 +367,7 @@ SELECT """ + ", ".join(
 
 @query("concentration_stats", CONCENTRATION)
 def concentration_stats(spark, sf_dir):
-    frame = items(spark, sf_dir, "customer_id", "price")
+    frame = sums(spark, sf_dir, "customer_id", "price")
     return revenue.compute_concentration_stats(frame, "customer_id", "price")
 
 
@@ -383,7 +390,7 @@ def entity_values(spark, sf_dir):
     f"WITH {FLAT}, v AS (SELECT customer_id, sum(price) AS price FROM flat GROUP BY 1)" + stats_sql("v", "price"),
 )
 def distribution_stats(spark, sf_dir):
-    frame = items(spark, sf_dir, "customer_id", "price")
+    frame = sums(spark, sf_dir, "customer_id", "price")
     _, stats = revenue.compute_distribution_stats(frame, "customer_id", "price")
     return rounded(stats, ["mean", "median", "std", "p25", "p75"])
 
@@ -479,7 +486,7 @@ def freight_group_sql(key: str) -> str:
 
 @query("freight_ratio_by_group", freight_group_sql("seller_state"))
 def freight_ratio_by_group(spark, sf_dir):
-    frame = items(spark, sf_dir, "seller_state", "freight_value", "price")
+    frame = sums(spark, sf_dir, "seller_state", "freight_value", "price")
     return delivery.compute_freight_ratio(frame, "freight_value", "price", "seller_state")
 
 
@@ -612,7 +619,7 @@ def geo_by_state(spark, sf_dir):
 
 @query("geo_by_city", geo_sql("customer_city", sellers=False))
 def geo_by_city(spark, sf_dir):
-    frame = items(spark, sf_dir, "price", "order_id", "customer_city", "customer_id")
+    frame = sums(spark, sf_dir, "price", "order_id", "customer_city", "customer_id")
     return customers.compute_geographic_summary(
         frame, "price", "order_id", city_col="customer_city", customer_col="customer_id"
     )["by_city"]
@@ -629,7 +636,7 @@ SELECT h.*, revenue_per_customer >= mr AND customers < mc AS opportunity_flag FR
 
 @query("market_opportunity", OPPORTUNITY)
 def market_opportunity(spark, sf_dir):
-    frame = items(spark, sf_dir, "customer_city", "price", "customer_id", "order_id")
+    frame = sums(spark, sf_dir, "customer_city", "price", "customer_id", "order_id")
     return customers.compute_market_opportunity(frame, "customer_city", "price", "customer_id", "order_id")
 
 

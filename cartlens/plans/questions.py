@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from cartlens.operators import charts, customers, delivery, revenue, scoring, series
 from cartlens.plans import driver_tables as driver
 from cartlens.plans import metric_queries as m
-from cartlens.plans.flat import flat_order_items, flat_reviews, translate_categories
-from cartlens.plans.metric_queries import items
+from cartlens.plans.flat import flat_reviews, translate_categories
+from cartlens.plans.metric_queries import items, sums
 from cartlens.plans.registry import (
     CUMULATIVE,
     DELIVERY,
@@ -83,7 +83,7 @@ def q05(spark, sf_dir):
 
 @query("q06_category_pareto", share_sql("product_category_name", extra=f", {CUMULATIVE} AS cumulative_share_pct, {CUMULATIVE} <= 80 AS within_80"))
 def q06(spark, sf_dir):
-    frame = items(spark, sf_dir, "product_category_name", "price")
+    frame = sums(spark, sf_dir, "product_category_name", "price")
     return charts.pareto_flagged(revenue.compute_pareto(frame, "product_category_name", "price"))
 
 
@@ -95,14 +95,14 @@ def q06(spark, sf_dir):
     f"WITH {FLAT}, v AS (SELECT customer_id, sum(price) AS price FROM flat GROUP BY 1)" + stats_sql("v", "price"),
 )
 def q07(spark, sf_dir):
-    frame = items(spark, sf_dir, "customer_id", "price")
+    frame = sums(spark, sf_dir, "customer_id", "price")
     _, stats = revenue.compute_distribution_stats(frame, "customer_id", "price")
     return rounded(stats, ["mean", "median", "std", "p25", "p75"])
 
 
 @query("q07_top_customers", share_sql("customer_id", "WHERE rk <= 50"))
 def q07_top(spark, sf_dir):
-    frame = items(spark, sf_dir, "customer_id", "price")
+    frame = sums(spark, sf_dir, "customer_id", "price")
     return revenue.compute_revenue_share(frame, "customer_id", "price", top_n=50)
 
 
@@ -117,7 +117,7 @@ def q08(spark, sf_dir):
 
 @query("q09_customer_value_by_city", geo_sql("customer_city", sellers=False))
 def q09(spark, sf_dir):
-    frame = items(spark, sf_dir, "price", "order_id", "customer_city", "customer_id")
+    frame = sums(spark, sf_dir, "price", "order_id", "customer_city", "customer_id")
     return customers.compute_geographic_summary(
         frame, "price", "order_id", city_col="customer_city", customer_col="customer_id"
     )["by_city"]
@@ -141,7 +141,7 @@ named AS (SELECT coalesce(english, product_category_name) AS product_category_na
 SELECT product_category_name_english, {dbl('r')} AS revenue, {SHARE} AS revenue_share_pct, rk AS rank FROM e""",
 )
 def q11(spark, sf_dir):
-    frame = items(spark, sf_dir, "product_category_name", "price")
+    frame = sums(spark, sf_dir, "product_category_name", "price")
     frame = translate_categories(frame, driver.category_translation(spark))
     return revenue.compute_revenue_share(frame, "product_category_name_english", "price")
 
@@ -216,7 +216,7 @@ def q18(spark, sf_dir):
 
 @query("q19_freight_by_region", m.freight_group_sql("customer_state"))
 def q19(spark, sf_dir):
-    frame = items(spark, sf_dir, "customer_state", "freight_value", "price")
+    frame = sums(spark, sf_dir, "customer_state", "freight_value", "price")
     return delivery.compute_freight_ratio(frame, "freight_value", "price", "customer_state")
 
 
@@ -424,9 +424,7 @@ def q35(spark, sf_dir):
 
 @query("q36_market_opportunity", m.OPPORTUNITY)
 def q36(spark, sf_dir):
-    frame = flat_order_items(
-        driver.marketplace(spark, sf_dir), ["customer_city", "price", "customer_id", "order_id"]
-    )
+    frame = sums(spark, sf_dir, "customer_city", "price", "customer_id", "order_id")
     return customers.compute_market_opportunity(frame, "customer_city", "price", "customer_id", "order_id")
 
 
