@@ -83,11 +83,10 @@ def histogram(df: DataFrame, value_col: str, bins: int = 40) -> DataFrame:
     rows = df.select(F.col(value_col).cast("double").alias("v")).filter(F.col("v").isNotNull())
     span = F.broadcast(rows.agg(F.min("v").alias("_lo"), F.max("v").alias("_hi")))
     lo, hi = F.col("_lo"), F.col("_hi")
-    raw = F.width_bucket("v", lo, hi, F.lit(bins))
+    # The largest value would fall behind the last bin; one value for all has no width to cut.
+    raw = F.when(lo == hi, F.lit(1)).otherwise(F.least(F.width_bucket("v", lo, hi, F.lit(bins)), F.lit(bins)))
     step = (hi - lo) / F.lit(float(bins))
-    binned = rows.crossJoin(span).withColumn(
-        "bin", F.coalesce(F.least(raw, F.lit(bins)), F.lit(1)).cast("long")
-    )
+    binned = rows.crossJoin(span).withColumn("bin", raw.cast("long"))
     return (
         binned.groupBy("bin", "_lo", "_hi")
         .agg(F.count(F.lit(1)).alias("count"))

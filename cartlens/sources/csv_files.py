@@ -91,7 +91,10 @@ def read_all_csv(
 
 
 def write_csv_tables(tables: Mapping[str, DataFrame], folder: str) -> dict[str, str]:
-    """Write each table as CSV with a header below ``folder/name``. Empty text stays distinct from null."""
+    """Write each table as CSV with a header below ``folder/name``.
+
+    Empty text is written in quotes and null as nothing; a CSV reader takes both for missing.
+    """
     targets = {}
     for name, df in tables.items():
         targets[name] = f"{folder.rstrip('/')}/{name}"
