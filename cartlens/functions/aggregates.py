@@ -42,6 +42,14 @@ def mean(df: DataFrame, name: str) -> Column:
     return F.try_divide(F.sum(_number(df, name)).cast("double"), F.count(name).cast("double"))
 
 
+def is_repeatable(df: DataFrame, spec: AggSpec) -> bool:
+    """Whether the aggregate comes out the same whatever the order of the rows: exact arithmetic."""
+    if callable(spec[1]) or spec[1] in ("std", "var"):
+        return False
+    exact = not isinstance(df.schema[spec[0]].dataType, (T.DoubleType, T.FloatType))
+    return exact or spec[1] in ("count", "size", "nunique", "min", "max", "median")
+
+
 def _order_column(func: str, spec: AggSpec) -> str:
     if len(spec) < 3:
         raise ValueError(f"'{func}' needs an order column: (source, '{func}', order)")

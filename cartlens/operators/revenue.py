@@ -13,8 +13,8 @@ from cartlens.functions.aggregates import (
     agg_column,
     drop_null_keys,
     exact_total,
+    is_repeatable,
     mean,
-    total,
 )
 from cartlens.functions.scalars import as_list, ratio, ratio_or_zero
 from cartlens.operators.ordered import (
@@ -92,6 +92,7 @@ def aggregate_by(
     result = group_aggregate(df, keys, agg_map)
     if not rank_col:
         return result
+    repeatable = rank_col in agg_map and is_repeatable(df, agg_map[rank_col]) or None
     result = result.withColumn(
         rank_col,
         F.coalesce(
@@ -102,7 +103,8 @@ def aggregate_by(
     if top_n is not None and top_n <= SMALL_CUT:
         dense = F.dense_rank().over(Window.orderBy(*sort_columns(order[:1]))).cast("long")
         return top_rows(result, order, top_n).withColumn("rank", dense)
-    ranked = ordered_scan(result, order, dense="rank", row="_row" if top_n is not None else None)
+    row = "_row" if top_n is not None else None
+    ranked = ordered_scan(result, order, dense="rank", row=row, repeatable=repeatable)
     if top_n is not None:
         ranked = ranked.filter(F.col("_row") <= top_n).drop("_row")
     return ranked

@@ -5,12 +5,13 @@ equal through it, and review keys are given before the latest review is chosen,
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame
 
 from cartlens import schemas
 from cartlens.operators import cleaning, quality
-from cartlens.staging import stage
+from cartlens.staging import run_together, stage
 
 
 def clean_orders(orders: DataFrame, seq_col: str = "seq") -> DataFrame:
@@ -50,30 +51,46 @@ def clean_tables(
     tables: Mapping[str, DataFrame],
     seq_col: str = "seq",
     key_order: Mapping[str, Sequence[str]] | None = None,
+    names: Sequence[str] | None = None,
 ) -> dict[str, DataFrame]:
-    """Clean the nine raw tables. Every table carries its input order in ``seq_col``.
+    """Clean the raw tables (all nine, or the named ones) and write each once.
 
-    ``key_order`` names the columns that order the surrogate keys; by default it is ``seq_col``.
+    Every table carries its input order in ``seq_col``. ``key_order`` names the columns that order the
+    surrogate keys; by default it is ``seq_col``. The tables do not depend on each other.
     """
     order = {name: [seq_col] for name in ("order_items", "payments", "reviews")} | dict(key_order or {})
-    out = {
-        "orders": clean_orders(tables["orders"], seq_col),
-        "products": first_per_key("products", clean_products(tables["products"], seq_col), seq_col),
-        "reviews": clean_reviews(tables["reviews"], order["reviews"], seq_col),
-    }
-    for name in ("customers", "sellers", "category_translation"):
+
+    def dimension(name: str) -> DataFrame:
         unique = cleaning.drop_exact_duplicates(tables[name], seq_col)
-        out[name] = first_per_key(name, unique, seq_col)
-    for name in ("order_items", "payments"):
-        out[name] = keyed_facts(name, tables[name], order[name], seq_col)
-    points = cleaning.drop_exact_duplicates(tables["geolocation"], seq_col)
-    out["geolocation"] = cleaning.normalize_geolocation(points, seq_col=seq_col)
-    return {name: df.drop(seq_col) for name, df in out.items()}
+        return first_per_key(name, unique, seq_col)
+
+    def facts(name: str) -> DataFrame:
+        return keyed_facts(name, tables[name], order[name], seq_col)
+
+    def geolocation() -> DataFrame:
+        points = cleaning.drop_exact_duplicates(tables["geolocation"], seq_col)
+        return cleaning.normalize_geolocation(points, seq_col=seq_col)
+
+    steps = {
+        "order_items": partial(facts, "order_items"),
+        "payments": partial(facts, "payments"),
+        "reviews": lambda: clean_reviews(tables["reviews"], order["reviews"], seq_col),
+        "orders": lambda: clean_orders(tables["orders"], seq_col),
+        "products": lambda: first_per_key("products", clean_products(tables["products"], seq_col), seq_col),
+        "customers": partial(dimension, "customers"),
+        "sellers": partial(dimension, "sellers"),
+        "category_translation": partial(dimension, "category_translation"),
+        "geolocation": geolocation,
+    }
+    wanted = names or list(steps)
+    spark = tables[wanted[0]].sparkSession
+    for name in wanted:
+        tables[name]  # planned here, so that only jobs run side by side
 
+    def written(name: str) -> DataFrame:
+        return stage(steps[name]().drop(seq_col), name)
 
-def staged(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """The cleaned tables written once, for the checks and everything after them."""
-    return {name: stage(df, name) for name, df in tables.items()}
+    return run_together(spark, {name: partial(written, name) for name in steps if name in wanted})
 
 
 def key_report(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -5,7 +5,10 @@ The dirt is chosen by column values (a status, a flag, a segment), never by a sa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Mapping
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Declared, so that planning reads no file footers.
@@ -38,61 +41,108 @@ def _places(spark: SparkSession, sf_dir: str, city: str, state: str) -> DataFram
     )
 
 
-def marketplace(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Lazy views under the model's table and column names."""
-    customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    orders = table(spark, sf_dir, "orders")
-    customer_place = _places(spark, sf_dir, "customer_city", "customer_state")
-    seller_place = _places(spark, sf_dir, "seller_city", "seller_state")
+class Views(Mapping):
+    """Tables by name, each built when it is first asked for."""
+
+    def __init__(self, builders: Mapping[str, Callable[[], DataFrame]]):
+        self._builders, self._built = dict(builders), {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def __iter__(self):
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = table(spark, sf_dir, "customer")
+    place = _places(spark, sf_dir, "customer_city", "customer_state")
+    return customer.join(place, customer.c_nationkey == place.n_nationkey).select(
+        F.col("c_custkey").alias("customer_id"), "customer_city", "customer_state"
+    )
+
+
+def _sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    supplier = table(spark, sf_dir, "supplier")
+    place = _places(spark, sf_dir, "seller_city", "seller_state")
+    return supplier.join(place, supplier.s_nationkey == place.n_nationkey).select(
+        F.col("s_suppkey").alias("seller_id"), "seller_city", "seller_state"
+    )
+
+
+def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("product_id"), F.col("p_type").alias("product_category_name")
+    )
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("order_id"),
+        F.col("o_custkey").alias("customer_id"),
+        F.col("o_orderdate").alias("order_purchase_timestamp"),
+    )
+
+
+def _order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("l_extendedprice").cast(MONEY)
-    digit = F.substring("o_orderpriority", 1, 1).cast("int")
-    return {
-        "customers": customer.join(
-            customer_place, customer.c_nationkey == customer_place.n_nationkey
-        ).select(F.col("c_custkey").alias("customer_id"), "customer_city", "customer_state"),
-        "sellers": supplier.join(seller_place, supplier.s_nationkey == seller_place.n_nationkey).select(
-            F.col("s_suppkey").alias("seller_id"), "seller_city", "seller_state"
-        ),
-        "products": table(spark, sf_dir, "part").select(
-            F.col("p_partkey").alias("product_id"), F.col("p_type").alias("product_category_name")
-        ),
-        "orders": orders.select(
-            F.col("o_orderkey").alias("order_id"),
-            F.col("o_custkey").alias("customer_id"),
-            F.col("o_orderdate").alias("order_purchase_timestamp"),
-        ),
-        "order_items": table(spark, sf_dir, "lineitem").select(
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_linenumber").alias("order_item_id"),
-            F.col("l_partkey").alias("product_id"),
-            F.col("l_suppkey").alias("seller_id"),
-            price.alias("price"),
-            (price * F.col("l_tax").cast("decimal(4,2)")).alias("freight_value"),
-        ),
-        "payments": orders.select(
-            F.col("o_orderkey").alias("order_id"),
-            F.col("o_orderstatus").alias("payment_type"),
-            digit.alias("payment_installments"),
-            F.col("o_totalprice").cast(MONEY).alias("payment_value"),
-        ),
-        "reviews": orders.select(
-            F.col("o_orderkey").alias("order_id"),
-            F.when(F.col("o_orderstatus") != "P", 6 - digit).alias("review_score"),
-            F.col("o_orderdate").alias("review_answer_timestamp"),
-        ),
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("order_id"),
+        F.col("l_linenumber").alias("order_item_id"),
+        F.col("l_partkey").alias("product_id"),
+        F.col("l_suppkey").alias("seller_id"),
+        price.alias("price"),
+        (price * F.col("l_tax").cast("decimal(4,2)")).alias("freight_value"),
+    )
+
+
+def _priority() -> Column:
+    return F.substring("o_orderpriority", 1, 1).cast("int")
+
+
+def _payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("order_id"),
+        F.col("o_orderstatus").alias("payment_type"),
+        _priority().alias("payment_installments"),
+        F.col("o_totalprice").cast(MONEY).alias("payment_value"),
+    )
+
+
+def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("order_id"),
+        F.when(F.col("o_orderstatus") != "P", 6 - _priority()).alias("review_score"),
+        F.col("o_orderdate").alias("review_answer_timestamp"),
+    )
+
+
+def marketplace(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
+    """Lazy views under the model's table and column names."""
+    views = {
+        "customers": _customers,
+        "sellers": _sellers,
+        "products": _products,
+        "orders": _orders,
+        "order_items": _order_items,
+        "payments": _payments,
+        "reviews": _reviews,
     }
+    return Views({name: partial(build, spark, sf_dir) for name, build in views.items()})
 
 
 def category_translation(spark: SparkSession) -> DataFrame:
     """Translation of all categories but one."""
-    rows = [
-        ("ECONOMY", "economy class"),
-        ("LARGE", "large size"),
-        ("MEDIUM", "medium size"),
-        ("PROMO", "promotion"),
-        ("SMALL", "small size"),
-    ]
-    return spark.createDataFrame(rows, "product_category_name string, product_category_name_english string")
+    return spark.sql(
+        """SELECT * FROM VALUES ('ECONOMY', 'economy class'), ('LARGE', 'large size'), ('MEDIUM', 'medium size'),
+           ('PROMO', 'promotion'), ('SMALL', 'small size')
+           AS t(product_category_name, product_category_name_english)"""
+    )
 
 
 def order_delivery(spark: SparkSession, sf_dir: str, place: bool = False) -> DataFrame:

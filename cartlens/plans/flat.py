@@ -16,29 +16,29 @@ from pyspark.sql import functions as F
 Tables = Mapping[str, DataFrame]
 
 
-def _picked(df: DataFrame, key: str, wanted: set[str]) -> list[str]:
-    return [c for c in df.columns if c == key or c in wanted]
+def _attach(left: DataFrame, dimension: DataFrame, key: str, columns: Sequence[str], how: str) -> DataFrame:
+    """Join the named columns of a dimension."""
+    return left.join(dimension.select(key, *columns), key, how)
 
 
-def _attach(
-    left: DataFrame, dimension: DataFrame, key: str, wanted: set[str], how: str, always: bool
-) -> DataFrame:
-    """Join the wanted columns of a dimension; leave it out when none is wanted."""
-    new = [c for c in _picked(dimension, key, wanted) if c != key and c not in left.columns]
-    if not new and not always:
-        return left
-    return left.join(dimension.select(key, *new), key, how)
+def _split(wanted: Sequence[str], df: DataFrame) -> tuple[list[str], list[str]]:
+    """Wanted columns that a table has, and the others."""
+    own = [c for c in wanted if c in df.columns]
+    return own, [c for c in wanted if c not in own]
 
 
 def order_frame(tables: Tables, columns: Sequence[str], how: str = "left") -> DataFrame:
-    """Orders with the wanted customer columns."""
-    wanted = set(columns)
-    all_joins = how == "inner"
+    """Orders with the wanted order and customer columns (and the order key)."""
     orders = tables["orders"]
-    customer_columns = (wanted & set(tables["customers"].columns)) - set(orders.columns)
-    need_key = bool(customer_columns) or all_joins
-    keep = [c for c in orders.columns if c in wanted or c == "order_id" or (need_key and c == "customer_id")]
-    return _attach(orders.select(*keep), tables["customers"], "customer_id", wanted, how, all_joins)
+    own, rest = _split([c for c in columns if c != "order_id"], orders)
+    joined = bool(rest) or how == "inner"
+    keep = ["order_id", *own]
+    if joined and "customer_id" not in own:
+        keep.append("customer_id")
+    frame = orders.select(*keep)
+    if joined:
+        frame = _attach(frame, tables["customers"], "customer_id", rest, how)
+    return frame.select("order_id", *own, *rest)
 
 
 def flat_order_items(
@@ -50,28 +50,27 @@ def flat_order_items(
     the items than one join key, the measures are summed per key before the join: the sums need the same
     shuffle as the join, and a key that very many items share leaves each task as one row.
     """
-    wanted = set(columns)
-    all_joins = how == "inner"
     items = tables["order_items"]
-
-    from_orders = wanted - set(items.columns)
-    needs = {
-        "product_id": all_joins or bool(from_orders & set(tables["products"].columns)),
-        "seller_id": all_joins or bool(from_orders & set(tables["sellers"].columns)),
-    }
-    order_columns = set(tables["orders"].columns) | set(tables["customers"].columns)
-    needs["order_id"] = all_joins or bool(from_orders & order_columns)
-    keep = [c for c in items.columns if c in wanted or needs.get(c)]
-    frame = items.select(*keep)
-    sums = [c for c in keep if c in additive]
-    keys = [c for c in keep if c not in sums]
-    if sums and len(keys) == 1 and needs.get(keys[0]):
+    own, rest = _split(columns, items)
+    dimensions: dict[str, list[str]] = {}
+    for name, key in (("sellers", "seller_id"), ("products", "product_id")):
+        found: list[str] = []
+        if rest:
+            found, rest = _split(rest, tables[name])
+        if found or how == "inner":
+            dimensions[key] = found
+    join_keys = [*dimensions, *(["order_id"] if rest or how == "inner" else [])]
+    frame = items.select(*own, *[k for k in join_keys if k not in own])
+
+    sums = [c for c in own if c in additive]
+    keys = [c for c in frame.columns if c not in sums]
+    if sums and len(keys) == 1 and keys[0] in join_keys:
         frame = frame.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
-    if needs["order_id"]:
-        orders = order_frame(tables, columns, how)
-        frame = frame.join(orders.select("order_id", *[c for c in orders.columns if c not in frame.columns]), "order_id", how)
-    frame = _attach(frame, tables["sellers"], "seller_id", wanted, how, all_joins)
-    frame = _attach(frame, tables["products"], "product_id", wanted, how, all_joins)
+    if "order_id" in join_keys:
+        frame = frame.join(order_frame(tables, rest, how), "order_id", how)
+    for name, key in (("sellers", "seller_id"), ("products", "product_id")):
+        if key in dimensions:
+            frame = _attach(frame, tables[name], key, dimensions[key], how)
     return frame.select(*columns)
 
 
@@ -88,12 +87,11 @@ def flat_reviews(tables: Tables, columns: Sequence[str], how: str = "inner") ->
 def flat_payments(tables: Tables, columns: Sequence[str], how: str = "left") -> DataFrame:
     """Payments with the wanted order and customer columns."""
     payments = tables["payments"]
-    missing = [c for c in columns if c not in payments.columns]
-    if not missing and how == "left":
+    own, rest = _split(columns, payments)
+    if not rest and how == "left":
         return payments.select(*columns)
-    orders = order_frame(tables, missing, how)
-    orders = orders.select("order_id", *[c for c in orders.columns if c not in payments.columns])
-    return payments.join(orders, "order_id", how).select(*columns)
+    key = [] if "order_id" in own else ["order_id"]
+    return payments.select(*own, *key).join(order_frame(tables, rest, how), "order_id", how).select(*columns)
 
 
 def translate_categories(

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from cartlens.functions.scalars import table_name
 from cartlens.plans import driver_tables as driver
+from cartlens.plans import users
 from cartlens.plans.registry import query
 from cartlens.sources import csv_files, messages, tables
 from cartlens.staging import new_path
@@ -139,3 +140,21 @@ def stream_json_events(spark, sf_dir):
     return spark.read.schema(schema_of("events")).parquet(target)
 
 
+@query("users_feed", "SELECT * FROM customer ORDER BY c_custkey LIMIT 100")
+def users_feed(spark, sf_dir):
+    # Loaded on first use, listed, sent as JSON messages and received by the stream.
+    source, target = new_path(spark, "json"), new_path(spark, "stream")
+    users.get_users(
+        spark,
+        written_csv(spark, sf_dir, ["customer"]),
+        new_database(),
+        send=lambda rows: messages.write_json_lines(rows, source),
+        order_by="c_custkey",
+        table="customer",
+        schemas={"customer": schema_of("customer")},
+        recursive=True,
+        location=new_path(spark, "db"),
+    )
+    stream = json_events.stream_from_files(spark, source, schema_of("customer"))
+    json_events.write_available(stream, target, new_path(spark, "checkpoint"))
+    return spark.read.schema(schema_of("customer")).parquet(target)

@@ -10,9 +10,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+PARALLEL_JOBS = 4
+
 
 def stage_root(spark: SparkSession) -> str:
     """The folder for written intermediates: the session's checkpoint folder."""
@@ -46,3 +51,11 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def run_together(spark: SparkSession, work: Mapping[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
+    """Run independent Spark jobs side by side, so that small tables do not wait for large ones."""
+    wrap = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(PARALLEL_JOBS) as pool:
+        futures = {name: pool.submit(wrap(function)) for name, function in work.items()}
+        return {name: future.result() for name, future in futures.items()}
