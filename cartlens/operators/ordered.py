@@ -4,7 +4,8 @@ A window without partition keys sorts the whole input in one task. Here the inpu
 the full sort key (value first, then the tie-break, so that equal values can be cut apart), written once
 together with its partition number, and every number that depends on earlier rows is split in two: what the
 earlier partitions contribute (one small row per partition) and what the rows of the same partition
-contribute (a window keyed by that partition).
+contribute. Row numbers inside a partition come from writing it sorted, so a rank needs no second shuffle;
+running sums and dense ranks take a window keyed by the partition.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from cartlens.functions.scalars import as_list
 from cartlens.staging import stage
 
 PART = "_range_part"
+LOCAL = "_range_row"
+# monotonically_increasing_id: partition number above, row number below this bit.
+LOCAL_BITS = 33
 # A cut of at most this many rows may be numbered by one task.
 SMALL_CUT = 10_000
 
@@ -71,11 +75,21 @@ def ordered_scan(
     # files, large ones keep spark.sql.shuffle.partitions ranges.
     keys = [*[F.asc(k) for k in within], *sort]
     ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
-    ranged = stage(ranged.withColumn(PART, F.spark_partition_id()), "ranged")
+    by_window = bool(running or dense or carry)
+    if row and not by_window:
+        ranged = ranged.sortWithinPartitions(*keys).withColumn("_position", F.monotonically_increasing_id())
+        part = F.shiftright("_position", LOCAL_BITS).cast("int")
+        local_row = F.col("_position").bitwiseAND(F.lit((1 << LOCAL_BITS) - 1))
+        ranged = ranged.select(*columns, part.alias(PART), local_row.alias(LOCAL))
+    else:
+        ranged = ranged.withColumn(PART, F.spark_partition_id())
+    ranged = stage(ranged, "ranged")
 
     # What each partition holds: at most one row per partition, or per group and partition.
     head, ascending = order[0]
     per_part = [F.count(F.lit(1)).alias("_rows")]
+    if LOCAL in ranged.columns:
+        per_part.append(F.min(LOCAL).alias("_first_row"))
     for name in {**running, **totals}:
         per_part.append(F.coalesce(F.sum(name), F.lit(0)).alias(f"_sum_{name}"))
     if dense:
@@ -96,6 +110,8 @@ def ordered_scan(
     earlier = by_part.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*within)
     offsets = [F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_before")]
+    if LOCAL in ranged.columns:
+        offsets.append(F.col("_first_row"))
     if rows_total:
         offsets.append(F.sum("_rows").over(everything).alias(rows_total))
     for name in running:
@@ -124,7 +140,8 @@ def ordered_scan(
     out = ranged.join(offsets_df, [*within, PART])
     added: list[Column] = []
     if row:
-        added.append((F.row_number().over(local) + F.col("_rows_before")).cast("long").alias(row))
+        in_part = F.row_number().over(local) if by_window else F.col(LOCAL) - F.col("_first_row") + 1
+        added.append((in_part + F.col("_rows_before")).cast("long").alias(row))
     if dense:
         by_value = Window.partitionBy(PART, *within).orderBy(sort[0])
         added.append((F.dense_rank().over(by_value) + F.col("_values_before")).cast("long").alias(dense))

@@ -46,9 +46,10 @@ def flat_order_items(
 ) -> DataFrame:
     """One row per order item with the wanted columns of items, orders, customers, sellers, products.
 
-    ``additive`` names measures of which the caller only wants sums. When the frame needs nothing else from
-    the items than one join key, the measures are summed per key before the join: the sums need the same
-    shuffle as the join, and a key that very many items share leaves each task as one row.
+    ``additive`` names measures of which the caller only wants sums. They are summed per join key before the
+    joins when that pays: by order, where the sums need the same shuffle as the join, or by seller and/or
+    product, which are far fewer than the items. A key that very many items share then leaves each task as one
+    row. Order together with another key is nearly the item itself, so nothing is summed there.
     """
     items = tables["order_items"]
     own, rest = _split(columns, items)
@@ -64,7 +65,8 @@ def flat_order_items(
 
     sums = [c for c in own if c in additive]
     keys = [c for c in frame.columns if c not in sums]
-    if sums and len(keys) == 1 and keys[0] in join_keys:
+    fewer_rows = keys == ["order_id"] or set(keys) <= {"seller_id", "product_id"}
+    if sums and join_keys and fewer_rows:
         frame = frame.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
     if "order_id" in join_keys:
         frame = frame.join(order_frame(tables, rest, how), "order_id", how)

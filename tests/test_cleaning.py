@@ -112,7 +112,9 @@ def test_additive_frame_sums_before_the_join(spark):
     tables = flat_tables(spark)
     frame = flat_order_items(tables, ["customer_id", "price"], additive=["price"])
     assert sorted(map(tuple, frame.collect())) == [(7, 11.0), (8, 7.0)]
-    # A second key of the items keeps the item grain.
+    places = flat_order_items(tables, ["seller_city", "price", "seller_id"], additive=["price"])
+    assert [tuple(r) for r in places.collect()] == [("s", 18.0, 100)]
+    # An order with a second key keeps the item grain.
     both = flat_order_items(tables, ["customer_id", "seller_id", "price"], additive=["price"])
     assert both.count() == 3
 

@@ -54,6 +54,29 @@ def test_a_hot_value_is_cut_apart(spark):
     assert out.count() == len(pdf)
 
 
+@pytest.mark.parametrize("partitions", [1, 5, 16])
+@pytest.mark.parametrize("within", [[], ["g"]])
+def test_row_numbers_from_the_written_order(spark, partitions, within):
+    pdf = hot_frame()
+    out = ordered_scan(
+        spark.createDataFrame(pdf),
+        [("v", False), ("k", True)],
+        within=within,
+        row="row",
+        totals={"v": "total"},
+        rows_total="n",
+        partitions=partitions,
+    )
+    assert out.columns == ["k", "v", "g", "total", "n", "row"]
+    got = out.toPandas().sort_values([*within, "row"])
+    want = pdf.sort_values([*within, "v", "k"], ascending=[True] * len(within) + [False, True])
+    assert got["k"].tolist() == want["k"].tolist()
+    groups = pdf.groupby("g")["v"].transform("size") if within else pdf["v"] * 0 + len(pdf)
+    assert sorted(got["n"]) == sorted(groups)
+    if not within:
+        assert got["row"].tolist() == list(range(1, len(pdf) + 1))
+
+
 @pytest.mark.parametrize("partitions", [1, 7])
 def test_scan_within_groups(spark, partitions):
     pdf = hot_frame()
@@ -147,6 +170,8 @@ def test_no_single_partition_exchange_over_entities(spark):
         plan = out._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # A rank is read off the written order: no shuffle and no sort of the entity rows after the write.
+    assert "Window [row_number" not in plan and "Exchange hashpartitioning" not in plan.split("Broadcast")[0]
     lines = plan.splitlines()
     single = [i for i, line in enumerate(lines) if "SinglePartition" in line]
     assert len(single) == 1
