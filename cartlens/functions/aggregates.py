@@ -3,7 +3,7 @@ the sum of nothing is 0, the mean of nothing is missing, null group keys drop ou
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Union
 
 from pyspark.sql import Column, DataFrame
@@ -103,6 +103,21 @@ def drop_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df
 
 
+def sums_and_distincts(
+    df: DataFrame, keys: Sequence[str], sums: Sequence[Column], distincts: Mapping[str, str]
+) -> DataFrame:
+    """Sums and several distinct counts per key (or over everything).
+
+    Several distinct counts in one aggregation multiply every row, with room for the sums in each copy. The
+    sums are therefore a second, narrow aggregation; both are grouped alike, so joining them moves no rows.
+    """
+    counts = [F.countDistinct(source).alias(name) for name, source in distincts.items()]
+    if len(counts) < 2:
+        return df.groupBy(*keys).agg(*sums, *counts)
+    totals, counted = df.groupBy(*keys).agg(*sums), df.groupBy(*keys).agg(*counts)
+    return totals.join(counted, list(keys)) if keys else totals.crossJoin(F.broadcast(counted))
+
+
 def pearson(x: Column, y: Column) -> Column:
     """Pearson correlation over rows where both sides are present; null for a constant side."""
     both = x.isNotNull() & y.isNotNull()

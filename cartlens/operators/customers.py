@@ -7,7 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartlens.functions.aggregates import drop_null_keys, exact_total, mean, pearson, total
+from cartlens.functions.aggregates import (
+    drop_null_keys,
+    exact_total,
+    mean,
+    pearson,
+    sums_and_distincts,
+    total,
+)
 from cartlens.functions.scalars import as_list, month, ratio
 from cartlens.operators.ordered import sort_columns
 from cartlens.operators.revenue import group_aggregate
@@ -148,14 +155,8 @@ def compute_geographic_summary(
             distinct["customers"] = customer_col
         if seller_col:
             distinct["sellers"] = seller_col
-        grouped = (
-            drop_null_keys(df, [geo_col])
-            .groupBy(geo_col)
-            .agg(
-                exact_total(df, revenue_col).cast("double").alias("revenue"),
-                *[F.countDistinct(source).alias(name) for name, source in distinct.items()],
-            )
-        )
+        revenue = exact_total(df, revenue_col).cast("double").alias("revenue")
+        grouped = sums_and_distincts(drop_null_keys(df, [geo_col]), [geo_col], [revenue], distinct)
         per = {
             "orders": "avg_revenue_per_order",
             "customers": "avg_revenue_per_customer",
@@ -181,12 +182,11 @@ def compute_market_opportunity(
     medians and the flags both read it.
     """
     regions = (
-        drop_null_keys(df, [region_col])
-        .groupBy(region_col)
-        .agg(
-            exact_total(df, revenue_col).cast("double").alias("revenue"),
-            F.countDistinct(customer_col).alias("customers"),
-            F.countDistinct(order_col).alias("orders"),
+        sums_and_distincts(
+            drop_null_keys(df, [region_col]),
+            [region_col],
+            [exact_total(df, revenue_col).cast("double").alias("revenue")],
+            {"customers": customer_col, "orders": order_col},
         )
         .withColumn("revenue_per_customer", ratio(F.col("revenue"), F.col("customers")))
         .withColumn("orders_per_customer", ratio(F.col("orders"), F.col("customers")))

@@ -15,6 +15,7 @@ from cartlens.functions.aggregates import (
     exact_total,
     is_repeatable,
     mean,
+    sums_and_distincts,
 )
 from cartlens.functions.scalars import as_list, ratio, ratio_or_zero
 from cartlens.operators.ordered import (
@@ -37,17 +38,15 @@ def compute_kpis(
     freight_col: str | None = None,
 ) -> DataFrame:
     """One row: total revenue, distinct orders, average order value and the optional figures."""
-    aggs = [
-        exact_total(df, revenue_col).cast("double").alias("total_revenue"),
-        F.countDistinct(order_col).alias("total_orders"),
-    ]
+    sums = [exact_total(df, revenue_col).cast("double").alias("total_revenue")]
+    distincts = {"total_orders": order_col}
     if customer_col:
-        aggs.append(F.countDistinct(customer_col).alias("total_customers"))
+        distincts["total_customers"] = customer_col
     if seller_col:
-        aggs.append(F.countDistinct(seller_col).alias("total_sellers"))
+        distincts["total_sellers"] = seller_col
     if freight_col:
-        aggs.append(exact_total(df, freight_col).cast("double").alias("total_freight"))
-    out = df.agg(*aggs)
+        sums.append(exact_total(df, freight_col).cast("double").alias("total_freight"))
+    out = sums_and_distincts(df, [], sums, distincts)
     columns = [
         "total_revenue",
         "total_orders",
