@@ -70,6 +70,7 @@ from cartlens.sources.csv_files import clean_table_name, read_all_csv, read_csv,
 from cartlens.sources.jdbc import jdbc_options, partition_options, read_jdbc, write_jdbc
 from cartlens.sources.messages import parse_messages, send_to_kafka, to_messages, write_json_lines
 from cartlens.sources.tables import database_has_data, load_all_csv, save_table, scan_limit
+from cartlens.staging import release
 from cartlens.streaming.json_events import stream_from_files, stream_from_kafka, write_available
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -112,7 +112,7 @@ def sums_and_distincts(
     sums are therefore a second, narrow aggregation; both are grouped alike, so joining them moves no rows.
     """
     counts = [F.countDistinct(source).alias(name) for name, source in distincts.items()]
-    if len(counts) < 2:
+    if len(counts) < 2 or not sums:
         return df.groupBy(*keys).agg(*sums, *counts)
     totals, counted = df.groupBy(*keys).agg(*sums), df.groupBy(*keys).agg(*counts)
     return totals.join(counted, list(keys)) if keys else totals.crossJoin(F.broadcast(counted))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cartlens.functions.aggregates import drop_null_keys
 from cartlens.functions.scalars import as_list
 from cartlens.staging import stage
 
@@ -61,8 +62,10 @@ def ordered_scan(
     present value. ``few_groups`` promises that the ``within`` groups are a handful fixed by the caller.
     ``repeatable`` says that recomputing ``df`` gives the very same sort keys; floating-point
     keys are taken not to be, and are then written once before they decide which partition a row belongs to.
+    Rows with a missing group key drop out.
     """
     within = list(within)
+    df = drop_null_keys(df, within)
     running, totals, carry = dict(running or {}), dict(totals or {}), dict(carry or {})
     if repeatable is None:
         repeatable = not _floating(df, [name for name, _ in order])

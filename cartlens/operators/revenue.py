@@ -63,16 +63,23 @@ def compute_kpis(
 
 
 def group_aggregate(df: DataFrame, keys: Sequence[str], agg_map: Mapping[str, AggSpec]) -> DataFrame:
-    """Named aggregates per key. Medians come from the distributed quantile, the rest from one groupBy."""
+    """Named aggregates per key. Medians come from the distributed quantile, the rest from grouping."""
     keys = list(keys)
     rows = drop_null_keys(df, keys)
     medians = {name: (spec[0], 0.5) for name, spec in agg_map.items() if spec[1] == "median"}
-    plain = [agg_column(rows, spec).alias(name) for name, spec in agg_map.items() if spec[1] != "median"]
-    if not medians:
-        return rows.groupBy(*keys).agg(*plain)
-    grouped = rows.groupBy(*keys).agg(*plain) if plain else rows.select(*keys).distinct()
-    quantiles = exact_quantiles(rows, medians, by=keys)
-    return grouped.join(quantiles, keys, "left").select(*keys, *agg_map)
+    distincts = {name: spec[0] for name, spec in agg_map.items() if spec[1] == "nunique"}
+    plain = [
+        agg_column(rows, spec).alias(name)
+        for name, spec in agg_map.items()
+        if name not in medians and name not in distincts
+    ]
+    if plain or distincts:
+        grouped = sums_and_distincts(rows, keys, plain, distincts)
+    else:
+        grouped = rows.select(*keys).distinct()
+    if medians:
+        grouped = grouped.join(exact_quantiles(rows, medians, by=keys), keys, "left")
+    return grouped.select(*keys, *agg_map)
 
 
 def aggregate_by(

@@ -2,7 +2,8 @@
 
 A frame joins only the tables whose columns are asked for. With ``how="left"`` (the default) no fact row is
 lost and a dimension that is not asked for changes nothing; ``how="inner"`` drops rows with a dangling key and
-therefore joins every dimension. Customers are joined to orders before the items are, so that the large item
+therefore joins every dimension. Keys of orders and dimensions are taken to be unique, as the cleaning leaves
+them. Customers are joined to orders before the items are, so that the large item
 table is shuffled once on the order key. Small dimensions are broadcast by their size, as Spark decides.
 """
 

@@ -53,11 +53,13 @@ def read_csv(
     schema: T.StructType | None = None,
     order_col: str | None = None,
     multi_line: bool = True,
+    mode: str = "FAILFAST",
 ) -> DataFrame:
     """Read CSV files with a header. Without a schema the types are inferred, which is a second pass.
 
     Quoted line breaks are part of a field, so a file is read by one task; ``multi_line=False`` lets Spark
-    split large files that are known to hold none.
+    split large files that are known to hold none. A row that does not fit the schema is an error;
+    ``mode="PERMISSIVE"`` makes its unreadable fields null.
 
     ``order_col`` adds the input order (file, position of the split, row in it) for "keep first" rules.
     """
@@ -66,7 +68,7 @@ def read_csv(
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multi_line)
-        .option("mode", "FAILFAST")
+        .option("mode", mode)
     )
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     df = reader.csv(paths)

@@ -31,20 +31,30 @@ def stage_root(spark: SparkSession) -> str:
     return root
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{stage_root(spark).rstrip('/')}/cartlens-{spark.sparkContext.applicationId}"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """A path and its file system."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the stage folder, deleted when the driver's JVM ends."""
-    path = "/".join(
-        [
-            stage_root(spark).rstrip("/"),
-            f"cartlens-{spark.sparkContext.applicationId}",
-            f"{label}-{uuid.uuid4().hex}",
-        ]
-    )
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    path = f"{_application_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    hadoop_path, fs = _hadoop(spark, path)
+    fs.deleteOnExit(hadoop_path)
     return path
 
 
+def release(spark: SparkSession) -> None:
+    """Delete everything this application has written so far. Results that are still to be read need it."""
+    hadoop_path, fs = _hadoop(spark, _application_folder(spark))
+    fs.delete(hadoop_path, True)
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once and return a scan of the written table."""
     spark = df.sparkSession

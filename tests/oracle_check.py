@@ -76,7 +76,7 @@ def main(sf_dir: str, keys: list[str]) -> int:
             if key not in oracles:
                 print(f"rows  {key} {got.num_rows} rows {took:.2f}s", flush=True)
                 continue
-            problem = compare(got, con.execute(oracles[key]).to_arrow_table())
+            problem = compare(got, con.sql(oracles[key]).to_arrow_table())
         except Exception as error:
             took, problem = time.time() - start, repr(error)[:1500]
         bad += problem is not None

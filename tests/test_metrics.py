@@ -38,6 +38,29 @@ def test_aggregates_of_a_missing_group(spark):
     assert {n: out[0][n] for n in names} == want
 
 
+def test_several_distinct_counts_beside_sums(spark):
+    rows = [("a", 1, 1, 1.0), ("a", 1, 2, 2.0), ("b", 3, 3, None), ("b", None, 3, 4.0), (None, 9, 9, 9.0)]
+    df = spark.createDataFrame(rows, "k string, x int, y int, v double")
+    out = revenue.aggregate_by(
+        df, "k", {"nx": ("x", "nunique"), "s": ("v", "sum"), "ny": ("y", "nunique"), "m": ("v", "median")}
+    )
+    assert out.columns == ["k", "nx", "s", "ny", "m"]
+    assert [tuple(r) for r in out.orderBy("k").collect()] == [("a", 1, 3.0, 2, 1.5), ("b", 1, 4.0, 1, 4.0)]
+
+
+def test_release_deletes_what_was_written(spark):
+    from cartlens.staging import release, stage
+
+    staged = stage(spark.range(5), "release")
+    assert staged.count() == 5
+    path = staged.inputFiles()[0].removeprefix("file:")
+    import os
+
+    assert os.path.exists(path.replace("///", "/"))
+    release(spark)
+    assert not os.path.exists(path.replace("///", "/"))
+
+
 def test_first_and_last_need_an_order(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, None), ("a", 3, "y")], "k string, seq int, v string")
     row = revenue.aggregate_by(df, "k", {"f": ("v", "first", "seq"), "l": ("v", "last", "seq")}).first()

@@ -39,7 +39,7 @@ def test_every_query_has_sql():
 @pytest.mark.parametrize("key", list(QUERIES))
 def test_matches_sql(spark, sf_dir, duck, key):
     got = QUERIES[key](spark, sf_dir).toArrow()
-    assert compare(got, duck.execute(ORACLES[key]).to_arrow_table()) is None
+    assert compare(got, duck.sql(ORACLES[key]).to_arrow_table()) is None
 
 
 @pytest.mark.parametrize("key", ORDERED)
@@ -51,7 +51,7 @@ def test_matches_sql_with_many_ranges(spark, sf_dir, duck, key):
         got = catalog.QUERIES[key](spark, sf_dir).toArrow()
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    assert compare(got, duck.execute(ORACLES[key]).to_arrow_table()) is None
+    assert compare(got, duck.sql(ORACLES[key]).to_arrow_table()) is None
 
 
 def test_entry(spark):
