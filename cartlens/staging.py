@@ -8,6 +8,7 @@ by ``spark.checkpoint.dir`` and are removed when the application ends.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Mapping
@@ -17,6 +18,8 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 PARALLEL_JOBS = 4
+# Application folder -> its path and file system, for the clean-up at exit.
+_written: dict[str, tuple] = {}
 
 
 def stage_root(spark: SparkSession) -> str:
@@ -42,11 +45,20 @@ def _hadoop(spark: SparkSession, path: str):
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the stage folder, deleted when the driver's JVM ends."""
-    path = f"{_application_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    hadoop_path, fs = _hadoop(spark, path)
-    fs.deleteOnExit(hadoop_path)
-    return path
+    """A fresh path below the application's stage folder, which is deleted when the application ends."""
+    folder = _application_folder(spark)
+    if folder not in _written:
+        _written[folder] = _hadoop(spark, folder)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+@atexit.register
+def _delete_written() -> None:
+    for hadoop_path, fs in _written.values():
+        try:
+            fs.delete(hadoop_path, True)
+        except Exception:  # the JVM may be gone already
+            pass
 
 
 def release(spark: SparkSession) -> None:
