@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlens.llm import chat_format, decontamination, quality_rules, url_filters
+from cartlens.llm import chat_format, decontamination, quality_rules, simhash, url_filters
 from cartlens.llm.common import crc_bucket, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
 
 
+@query("op3_simhash")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
+
+
 REPLY = chat_format.ToolSchema("reply", {"prompt": "string", "turn": "integer"}, ("prompt", "turn"))
 CHAT_SQL = """
 WITH kinds AS (
