@@ -8,7 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlens.llm import chat_format, decontamination, quality_rules, simhash, toxicity, url_filters
+from cartlens.llm import (
+    chat_format,
+    decontamination,
+    language_id,
+    quality_rules,
+    sentencepiece_codec,
+    simhash,
+    token_counts,
+    toxicity,
+    url_filters,
+)
 from cartlens.llm.common import crc_bucket, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +92,27 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+@query("op4_token_counts")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_bucket("doc_id", 3) == 1
+    model = language_id.fit_languages(docs.where(~held_out))
+    return language_id.identify_languages(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score"
+    )
+
+
+@query("op7_sentencepiece")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentencepiece_codec.encode_texts(table(spark, sf_dir, "documents"), verify=True)
+    return encoded.select("doc_id", F.size("ids").alias("n_ids"), "ids", "lossless")
+
+
 REPLY = chat_format.ToolSchema("reply", {"prompt": "string", "turn": "integer"}, ("prompt", "turn"))
 CHAT_SQL = """
 WITH kinds AS (
