@@ -12,6 +12,7 @@ from cartlens.llm import (
     chat_format,
     decontamination,
     language_id,
+    ngram_lm,
     quality_rules,
     sentencepiece_codec,
     simhash,
@@ -107,6 +108,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_lm_scoring")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ngram_lm.score_texts(table(spark, sf_dir, "documents"), crc_bucket("doc_id", 7) != 2)
+    return scored.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 @query("op7_sentencepiece")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = sentencepiece_codec.encode_texts(table(spark, sf_dir, "documents"), verify=True)
