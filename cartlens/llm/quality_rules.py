@@ -6,7 +6,7 @@ word array, so nothing is shuffled and a row of any length is handled by the tas
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -48,17 +48,22 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit(0.0)).otherwise(part.cast("double") / whole)
 
 
-def compile_rules(rules: Sequence[Rule]) -> Column:
-    """True where every rule holds."""
+def compile_rules(rules: Sequence[Rule], measures: Column) -> Column:
+    """True where every rule holds for a struct of measures."""
     verdict = F.lit(True)
     for rule in rules:
         if rule.least is not None:
-            verdict = verdict & (F.col(rule.measure) >= rule.least)
+            verdict = verdict & (measures[rule.measure] >= rule.least)
         if rule.most is not None:
-            verdict = verdict & (F.col(rule.measure) <= rule.most)
+            verdict = verdict & (measures[rule.measure] <= rule.most)
     return verdict
 
 
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also where the optimizer moves the expression into a filter."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _sorted_windows(words: Column) -> Column:
     """All 3-word windows with their positions, sorted, so that equal ones become neighbours."""
     return F.when(
@@ -76,56 +81,52 @@ def _sorted_windows(words: Column) -> Column:
     )
 
 
-def measure_quality(docs: DataFrame, *, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and all measures of every row. A null text has no words, as an empty one; every
-    measure is then 0. Other columns of ``docs`` are not read, whatever their names."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split("_t", "\n", -1), lambda line: F.length(F.translate(line, BLANKS, "")) > 0)
+def _measures(text: Column) -> Column:
+    """All measures of a text as one struct."""
     stop = sorted({w for words in STOP_WORDS.values() for w in words})
-    step = docs.select(F.struct(*keep).alias("_row"), whole.alias("_t")).select(
-        "_row",
-        F.filter(F.split("_t", SPACES, -1), lambda w: w != "").alias("_words"),
-        lines.alias("_lines"),
-        F.length("_t").alias("n_chars"),
-        F.length(F.translate("_t", BLANKS, "")).alias("word_chars"),
-        (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).alias("n_symbols"),
-    )
-    step = step.select(
-        "_row",
-        "n_chars",
-        F.col("word_chars").cast("long").alias("word_chars"),
-        F.col("n_symbols").cast("long").alias("n_symbols"),
-        F.size("_words").cast("long").alias("n_words"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.filter("_words", lambda w: F.lower(w).isin(stop))).alias("_stop"),
-        _sorted_windows(F.col("_words")).alias("_s"),
+    lines = F.filter(F.split(text, "\n", -1), lambda line: F.length(F.translate(line, BLANKS, "")) > 0)
+    parts = F.struct(
+        F.filter(F.split(text, SPACES, -1), lambda w: w != "").alias("words"),
+        lines.alias("lines"),
+        F.length(text).cast("long").alias("n_chars"),
+        F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
+        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
     )
 
-    def gram(k: Column) -> Column:
-        return F.get(F.col("_s"), k)["g"]
+    def repeated(windows: Column) -> Column:
+        """Words in a window that occurs twice or more, its first occurrence included."""
+
+        def same(x: Column, k: Column) -> Column:
+            return F.coalesce(x["g"] == F.get(windows, k)["g"], F.lit(False))
+
+        twice = F.filter(windows, lambda x, k: same(x, k - 1) | same(x, k + 1))
+        covered = F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
+        return F.size(F.array_distinct(covered)).cast("long")
+
+    def count(p: Column) -> Column:
+        return F.struct(
+            F.size(p["words"]).cast("long").alias("n_words"),
+            p["n_chars"].alias("n_chars"),
+            p["word_chars"].alias("word_chars"),
+            p["n_symbols"].alias("n_symbols"),
+            F.size(p["lines"]).cast("long").alias("n_lines"),
+            (F.size(p["lines"]) - F.size(F.array_distinct(p["lines"]))).cast("long").alias("n_dup_lines"),
+            F.size(F.filter(p["words"], lambda w: F.lower(w).isin(stop))).alias("n_stop"),
+            _bind(_sorted_windows(p["words"]), repeated).alias("n_repeat_words"),
+        )
 
-    twice = F.filter(
-        "_s",
-        lambda x, k: F.coalesce(x["g"] == gram(k - 1), F.lit(False)) | F.coalesce(x["g"] == gram(k + 1), F.lit(False)),
-    )
-    # Words in a window that occurs twice or more, its first occurrence included.
-    covered = F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
-    step = step.withColumn("n_repeat_words", F.size(F.array_distinct(covered)).cast("long"))
-    return step.select(
-        "_row.*",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        _ratio(F.col("word_chars"), F.col("n_words")).alias("mean_word_chars"),
-        _ratio(F.col("n_symbols"), F.col("n_words")).alias("symbols_per_word"),
-        _ratio(F.col("_stop"), F.col("n_words")).alias("stop_word_ratio"),
-        _ratio(F.col("n_dup_lines"), F.col("n_lines")).alias("dup_line_ratio"),
-        _ratio(F.col("n_chars") - F.col("word_chars"), F.col("n_chars")).alias("blank_ratio"),
-        _ratio(100 * F.col("n_repeat_words"), F.col("n_words")).alias("repeat_percent"),
-    )
+    def relate(c: Column) -> Column:
+        return F.struct(
+            *[c[name].alias(name) for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+            _ratio(c["word_chars"], c["n_words"]).alias("mean_word_chars"),
+            _ratio(c["n_symbols"], c["n_words"]).alias("symbols_per_word"),
+            _ratio(c["n_stop"], c["n_words"]).alias("stop_word_ratio"),
+            _ratio(c["n_dup_lines"], c["n_lines"]).alias("dup_line_ratio"),
+            _ratio(c["n_chars"] - c["word_chars"], c["n_chars"]).alias("blank_ratio"),
+            _ratio(100 * c["n_repeat_words"], c["n_words"]).alias("repeat_percent"),
+        )
+
+    return _bind(_bind(parts, count), relate)
 
 
 def judge_quality(
@@ -136,8 +137,16 @@ def judge_quality(
     base_rules: Sequence[Rule] = BASE_RULES,
     rules: Sequence[Rule] = RULES,
 ) -> DataFrame:
-    """The measures with ``base_failed`` and ``kept`` (the base and the method's rules hold)."""
-    measured = measure_quality(docs, text=text, keep=keep)
-    return measured.withColumn("base_failed", ~compile_rules(base_rules)).withColumn(
-        "kept", ~F.col("base_failed") & compile_rules(rules)
-    )
+    """``keep`` columns, the measures of every row, ``base_failed`` and ``kept`` (base and method's rules hold).
+
+    A null text has no words, as an empty one; its measures are 0. Repeated rows are judged each. Other columns of
+    ``docs`` are not read, whatever their names.
+    """
+
+    def judge(m: Column) -> Column:
+        failed = ~compile_rules(base_rules, m)
+        return F.struct(m.alias("m"), failed.alias("base_failed"), (~failed & compile_rules(rules, m)).alias("kept"))
+
+    whole = F.coalesce(F.col(text), F.lit(""))
+    judged = docs.select(F.struct(*keep).alias("_row"), _bind(_measures(whole), judge).alias("_judged"))
+    return judged.select("_row.*", "_judged.m.*", "_judged.base_failed", "_judged.kept")

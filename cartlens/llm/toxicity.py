@@ -200,9 +200,12 @@ def labelled_sample(
 ) -> tuple[DataFrame, dict[int, int]]:
     """Distinct labelled texts (text, label), ``sample_rows`` a class or little more, and the rows a class.
 
-    Copies count once: rows are reduced to text hashes before the sample is drawn by hash.
+    Copies count once: rows are reduced to text hashes before the sample is drawn by hash. The chosen rows are
+    about twice ``sample_rows`` ids, whatever the input, and are broadcast.
     """
-    marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("y"))
+    marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(
+        F.max((F.col(label) == 1).cast("int")).alias("y")
+    )
     hashed = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"))
     first = stage(hashed.join(marks, "id").groupBy("y", "h").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "labels")
     sizes = {r["y"]: (r["texts"], r["n"]) for r in first.groupBy("y").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n")).collect()}
@@ -212,7 +215,7 @@ def labelled_sample(
         share = F.when(F.col("y") == y, F.lit(min(grain, math.ceil(grain * sample_rows / texts)))).otherwise(share)
     chosen = first.where(F.pmod(F.xxhash64("h"), F.lit(grain)) < share).select("id", "h", "y")
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    sample = stage(rows.join(chosen, ["id", "h"]).select("text", F.col("y").cast("int").alias("y")), "sample")
+    sample = stage(rows.join(F.broadcast(chosen), ["id", "h"]).select("text", "y"), "sample")
     return sample, {y: n for y, (_, n) in sizes.items()}
 
 
