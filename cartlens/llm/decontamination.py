@@ -177,7 +177,7 @@ def find_benchmark(
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out: DataFrame | None = None
-    keyed, schema, names = docs.select(*keep, text), own, list(keep)
+    keyed, schema, names = docs.select(*dict.fromkeys([*keep, text])), own, list(keep)
     parts = list(_parts(benchmark, item, item_text, part_words))
     if len(parts) > 1:
         keyed = keyed.withColumn("_row", F.monotonically_increasing_id())

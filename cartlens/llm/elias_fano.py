@@ -24,7 +24,7 @@ class EliasFano:
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
         n, low_bytes = len(values), 0
-        while n and (universe >> (8 * low_bytes)) > n:
+        while (universe >> (8 * low_bytes)) > max(n, 1):
             low_bytes += 1
         values = values.astype(np.uint64)
         upper = (values >> np.uint64(8 * low_bytes)).astype(np.int64) if low_bytes < 8 else np.zeros(n, np.int64)
