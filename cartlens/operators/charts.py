@@ -157,16 +157,15 @@ def treemap_rollup(
     )
 
 
-def heatmap_pivot(
-    df: DataFrame, x: str, y: str, z: str, x_values: Sequence | None = None, max_columns: int = 1000
-) -> DataFrame:
-    """Mean of ``z`` per ``y`` row and ``x`` column. The column list is given, or read and size-checked."""
+def heatmap_cells(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
+    """Mean of ``z`` per cell, one row for each (y, x): any number of values on both sides."""
+    rows = drop_null_keys(df, [x, y])
+    return rows.groupBy(y, x).agg(mean(rows, z).alias(z))
+
+
+def heatmap_pivot(df: DataFrame, x: str, y: str, z: str, x_values: Sequence) -> DataFrame:
+    """``heatmap_cells`` as ``y`` rows and one column for each of the given ``x`` values."""
     rows = drop_null_keys(df, [x, y])
-    if x_values is None:
-        found = rows.select(x).distinct().orderBy(x).limit(max_columns + 1).collect()
-        if len(found) > max_columns:
-            raise ValueError(f"{x} has more than {max_columns} values: too wide for a heatmap")
-        x_values = [r[0] for r in found]
     return rows.groupBy(y).pivot(x, list(x_values)).agg(mean(rows, z)).orderBy(y)
 
 

@@ -24,8 +24,6 @@ PART = "_range_part"
 LOCAL = "_range_row"
 # monotonically_increasing_id: partition number above, row number below this bit.
 LOCAL_BITS = 33
-# A cut of at most this many rows may be numbered by one task.
-SMALL_CUT = 10_000
 
 Order = Sequence[tuple[str, bool]]  # (column, ascending); missing values always last
 
@@ -96,11 +94,12 @@ def ordered_scan(
     for name in {**running, **totals}:
         per_part.append(F.coalesce(F.sum(name), F.lit(0)).alias(f"_sum_{name}"))
     if dense:
-        lo, hi = F.min(head), F.max(head)
+        # A missing value is a value of its own, behind all others.
+        lo, hi, missing = F.min(head), F.max(head), F.max(F.col(head).isNull())
         per_part += [
-            F.countDistinct(head).alias("_values"),
+            (F.countDistinct(head) + missing.cast("long")).alias("_values"),
             (lo if ascending else hi).alias("_first"),
-            (hi if ascending else lo).alias("_last"),
+            F.when(~missing, hi if ascending else lo).alias("_last"),
         ]
     for name in carry:
         if not all(asc for _, asc in order):
@@ -123,9 +122,9 @@ def ordered_scan(
         offsets.append(F.sum(f"_sum_{name}").over(everything).alias(alias))
     if dense:
         # A value cut by a partition boundary was counted on both sides.
-        parts = parts.withColumn(
-            "_shared", (F.lag("_last").over(by_part).eqNullSafe(F.col("_first"))).cast("long")
-        )
+        behind = F.lag(F.lit(True)).over(by_part).isNotNull()
+        same = F.lag("_last").over(by_part).eqNullSafe(F.col("_first"))
+        parts = parts.withColumn("_shared", (behind & same).cast("long"))
         upto = by_part.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         offsets.append(
             (
@@ -171,12 +170,8 @@ def top_rows(df: DataFrame, order: Order, n: int) -> DataFrame:
 
 
 def numbered_top(df: DataFrame, order: Order, n: int, name: str = "rank") -> DataFrame:
-    """The first ``n`` rows with their ordinal rank. Larger cuts take the distributed way."""
-    if n > SMALL_CUT:
-        return global_rank(df, order, name).filter(F.col(name) <= n)
-    cut = top_rows(df, order, n)
-    rank = F.row_number().over(Window.orderBy(*sort_columns(order))).cast("long")
-    return cut.withColumn(name, rank)
+    """The first ``n`` rows with their ordinal rank, numbered in ranges whatever the size of the cut."""
+    return global_rank(top_rows(df, order, n), order, name)
 
 
 def surrogate_key(df: DataFrame, order_cols: str | Sequence[str], name: str) -> DataFrame:

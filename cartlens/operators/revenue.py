@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartlens.functions.aggregates import (
@@ -19,11 +19,8 @@ from cartlens.functions.aggregates import (
 )
 from cartlens.functions.scalars import as_list, ratio, ratio_or_zero
 from cartlens.operators.ordered import (
-    SMALL_CUT,
     exact_quantiles,
-    numbered_top,
     ordered_scan,
-    sort_columns,
     top_rows,
 )
 from cartlens.staging import stage
@@ -106,14 +103,9 @@ def aggregate_by(
         ).cast(result.schema[rank_col].dataType),
     )
     order = [(rank_col, ascending), *[(k, True) for k in keys if k != rank_col]]
-    if top_n is not None and top_n <= SMALL_CUT:
-        dense = F.dense_rank().over(Window.orderBy(*sort_columns(order[:1]))).cast("long")
-        return top_rows(result, order, top_n).withColumn("rank", dense)
-    row = "_row" if top_n is not None else None
-    ranked = ordered_scan(result, order, dense="rank", row=row, repeatable=repeatable)
     if top_n is not None:
-        ranked = ranked.filter(F.col("_row") <= top_n).drop("_row")
-    return ranked
+        result = top_rows(result, order, top_n)
+    return ordered_scan(result, order, dense="rank", repeatable=repeatable)
 
 
 def _entity_revenue(df: DataFrame, keys: Sequence[str], revenue_col: str) -> DataFrame:
@@ -134,9 +126,6 @@ def compute_revenue_share(
         "revenue_share_pct"
     )
     columns = [*keys, F.col("revenue").cast("double").alias("revenue"), share, "rank"]
-    if top_n and top_n <= SMALL_CUT:
-        totals = F.broadcast(entities.agg(F.sum("revenue").alias("_total")))
-        return numbered_top(entities, _revenue_order(keys), top_n).crossJoin(totals).select(*columns)
     ranked = ordered_scan(entities, _revenue_order(keys), row="rank", totals={"revenue": "_total"})
     if top_n:
         ranked = ranked.filter(F.col("rank") <= top_n)

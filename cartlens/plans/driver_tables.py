@@ -11,6 +11,8 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartlens import schemas
+
 # Declared, so that planning reads no file footers.
 PARQUET_SCHEMAS = {
     "region": "r_regionkey int, r_name string",
@@ -269,19 +271,10 @@ def dirty_marketplace(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         return numbered(df, 1).unionByName(numbered(df, 2))
 
     weight = F.when(F.col("p_brand") == "Brand#3", "n/a").otherwise(F.col("p_size").cast("string"))
-    numbers = [
-        "product_name_lenght",
-        "product_description_lenght",
-        "product_photos_qty",
-        "product_weight_g",
-        "product_length_cm",
-        "product_height_cm",
-        "product_width_cm",
-    ]
     products = part.select(
         F.col("p_partkey").alias("product_id"),
         F.when(F.col("p_brand") != "Brand#1", F.col("p_type")).alias("product_category_name"),
-        *[weight.alias(c) for c in numbers],
+        *[weight.alias(c) for c in schemas.PRODUCT_NUMERIC_COLUMNS],
     )
     other_products = products.withColumn("product_category_name", F.lit("later copy"))
 

@@ -299,13 +299,13 @@ def test_trend_of_a_constant_x(spark):
     assert charts.ols_trend(df, "x", "y").first()["slope"] is None
 
 
-def test_heatmap_reads_its_columns(spark):
+def test_heatmap_cells_and_columns(spark):
     df = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 3.0), ("b", "x", 5.0)], "r string, c string, z double")
-    out = charts.heatmap_pivot(df, "c", "r", "z")
+    cells = {(r["r"], r["c"]): r["z"] for r in charts.heatmap_cells(df, "c", "r", "z").collect()}
+    assert cells == {("a", "x"): 1.0, ("a", "y"): 3.0, ("b", "x"): 5.0}
+    out = charts.heatmap_pivot(df, "c", "r", "z", ["x", "y"])
     assert out.columns == ["r", "x", "y"]
     assert [tuple(r) for r in out.collect()] == [("a", 1.0, 3.0), ("b", 5.0, None)]
-    with pytest.raises(ValueError):
-        charts.heatmap_pivot(df, "c", "r", "z", max_columns=1)
 
 
 def test_treemap_levels(spark):

@@ -151,15 +151,26 @@ def test_surrogate_key_is_dense(spark):
     assert got["k"].tolist() == pdf.sort_values(["g", "k"])["k"].tolist()
 
 
-def test_top_cut_beyond_the_small_limit(spark, monkeypatch):
-    import cartlens.operators.ordered as ordered
-
+@pytest.mark.parametrize("n", [1, 50, 1_000_000])
+def test_top_cut_of_any_size(spark, n):
     df = spark.createDataFrame(hot_frame())
     order = [("v", False), ("k", True)]
-    small = numbered_top(df, order, 50).toPandas().sort_values("rank")
-    monkeypatch.setattr(ordered, "SMALL_CUT", 10)
-    large = numbered_top(df, order, 50).toPandas().sort_values("rank")
-    assert small["k"].tolist() == large["k"].tolist() and len(large) == 50
+    got = numbered_top(df, order, n).toPandas().sort_values("rank")
+    want = df.toPandas().sort_values(["v", "k"], ascending=[False, True]).head(n)
+    assert got["k"].tolist() == want["k"].tolist()
+    assert got["rank"].tolist() == list(range(1, len(want) + 1))
+
+
+@pytest.mark.parametrize("partitions", [1, 5, 16])
+@pytest.mark.parametrize("ascending", [True, False])
+@pytest.mark.parametrize("values", [[1, 2, 3, 4] + [None] * 36, [None] * 5, [7] * 20 + [None] * 2, list(range(30))])
+def test_dense_rank_counts_missing_values_once(spark, partitions, ascending, values):
+    df = spark.createDataFrame(list(enumerate(values)), "k long, v long")
+    order = [("v", ascending), ("k", True)]
+    rows = ordered_scan(df, order, dense="rank", partitions=partitions).collect()
+    present = sorted({v for v in values if v is not None}, reverse=not ascending)
+    want = {v: i for i, v in enumerate(present, 1)} | {None: len(present) + 1}
+    assert all(r["rank"] == want[r["v"]] for r in rows) and len(rows) == len(values)
 
 
 def test_no_single_partition_exchange_over_entities(spark):
