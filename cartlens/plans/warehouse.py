@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from cartlens import schemas
 from cartlens.operators import quality
 from cartlens.plans import cleaning_pipeline
-from cartlens.sources.csv_files import discover_csv, read_csv, write_csv_tables
+from cartlens.sources.csv_files import discover_csv, holds_breaks, read_csv, write_csv_tables
 from cartlens.sources.tables import save_table
 
+# Tables whose free text holds line breaks; the files of all others can be split.
+WITH_BREAKS = ("reviews",)
 # Tables that meet on the order key; bucketed alike they are joined without a shuffle.
 BY_ORDER = ("orders", "order_items", "payments", "reviews")
 
@@ -32,7 +34,7 @@ def read_raw(
     folder: str,
     stems: Mapping[str, str] | None = None,
     seq_col: str = "seq",
-    multi_line: bool = True,
+    multi_line: bool | Collection[str] = WITH_BREAKS,
 ) -> dict[str, DataFrame]:
     """The nine raw tables with their input order. ``stems`` maps a table to its file stem when it differs."""
     files = discover_csv(spark, folder)
@@ -41,7 +43,7 @@ def read_raw(
     if missing:
         raise FileNotFoundError(f"no CSV file for {', '.join(missing)} below {folder}")
     return {
-        name: read_csv(spark, files[stems[name]], schema, order_col=seq_col, multi_line=multi_line)
+        name: read_csv(spark, files[stems[name]], schema, order_col=seq_col, multi_line=holds_breaks(name, multi_line))
         for name, schema in schemas.RAW_SCHEMAS.items()
     }
 
@@ -54,7 +56,7 @@ def build(
     buckets: int | None = None,
     csv_folder: str | None = None,
     location: str | None = None,
-    multi_line: bool = True,
+    multi_line: bool | Collection[str] = WITH_BREAKS,
     key_order: Mapping[str, Sequence[str]] | None = None,
 ) -> Warehouse:
     """Clean the raw files and replace the database's tables.

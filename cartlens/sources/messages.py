@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: the topic's name.
 USERS_TOPIC = "users-topic"
@@ -32,6 +33,16 @@ def write_json_lines(df: DataFrame, path: str) -> str:
     return path
 
 
-def parse_messages(messages: DataFrame, schema) -> DataFrame:
-    """The objects of ``value`` as columns."""
-    return messages.select(F.from_json(F.col("value").cast("string"), schema, TIME_FORMAT).alias("m")).select("m.*")
+def parse_messages(messages: DataFrame, schema: T.StructType, bad_col: str | None = None) -> DataFrame:
+    """The objects of ``value`` as columns.
+
+    A message that is no object of the schema becomes nulls; with ``bad_col`` that column then holds its text (and
+    is null for good messages), so that bad messages can be counted and kept.
+    """
+    options = dict(TIME_FORMAT)
+    if bad_col:
+        schema = T.StructType([*schema.fields, T.StructField(bad_col, T.StringType())])
+        options["columnNameOfCorruptRecord"] = bad_col
+    value = F.col("value").cast("string")
+    parsed = messages.select(F.from_json(value, schema, options).alias("m"))
+    return parsed.select("m.*")

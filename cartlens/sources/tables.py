@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Callable, Collection, Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from cartlens.operators.ordered import sort_columns
-from cartlens.sources.csv_files import clean_table_name, discover_csv, read_csv
+from cartlens.sources.csv_files import clean_table_name, discover_csv, holds_breaks, read_csv
 
 REPORT_SCHEMA = "table string, rows long, status string, error string"
 
@@ -51,30 +51,33 @@ def load_all_csv(
     stop_on_error: bool = False,
     bucket_by: Mapping[str, tuple[int, Sequence[str]]] | None = None,
     guard: bool = True,
-    multi_line: bool = True,
+    multi_line: bool | Collection[str] = True,
     recursive: bool = False,
     location: str | None = None,
 ) -> DataFrame:
     """Load every CSV directly in a folder (or below it) into its table; returns one report row per table.
 
-    A file that fails is reported and the others are loaded, unless ``stop_on_error``. With ``guard`` a
-    database that already holds tables is left alone. No files means an empty report.
+    A file that fails is reported with its whole error and the others are loaded, unless ``stop_on_error``. With
+    ``guard`` a table that the database already holds is left alone and not reported, so a table that failed is
+    loaded by the next call. ``multi_line`` is a flag for all tables or the names of those whose fields hold line
+    breaks; the others can be read by several tasks a file. No files means an empty report.
     """
     schemas, bucket_by = schemas or {}, bucket_by or {}
     report: list[tuple] = []
-    if guard and database_has_data(spark, database):
-        return spark.createDataFrame([], REPORT_SCHEMA)
+    present = stored_tables(spark, database) if guard else set()
     at = f" LOCATION '{location}'" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{at}")
     for name, paths in discover_csv(spark, folder, recursive=recursive, naming=naming).items():
+        if name in present:
+            continue
         table = f"{database}.`{name}`"
         try:
-            df = read_csv(spark, paths, schemas.get(name), multi_line=multi_line)
+            df = read_csv(spark, paths, schemas.get(name), multi_line=holds_breaks(name, multi_line))
             save_table(df, table, bucket_by=bucket_by.get(name))
             rows = spark.table(table).count()  # from the parquet footers
             report.append((name, rows, "loaded", None))
         except Exception as error:
-            report.append((name, None, "failed", str(error).splitlines()[0]))
+            report.append((name, None, "failed", repr(error)))
             if stop_on_error:
                 break
     return spark.createDataFrame(report, REPORT_SCHEMA)

@@ -17,16 +17,21 @@ def kafka_source_options(servers: str, topic: str = USERS_TOPIC) -> dict[str, st
     }
 
 
-def stream_from_kafka(spark: SparkSession, servers: str, schema, topic: str = USERS_TOPIC) -> DataFrame:
-    """Parsed messages of a topic (needs the Kafka connector on the class path)."""
+def stream_from_kafka(
+    spark: SparkSession, servers: str, schema, topic: str = USERS_TOPIC, bad_col: str | None = None
+) -> DataFrame:
+    """Parsed messages of a topic (needs the Kafka connector on the class path). ``bad_col``: see
+    ``parse_messages``."""
     source = spark.readStream.format("kafka").options(**kafka_source_options(servers, topic)).load()
-    return parse_messages(source, schema)
+    return parse_messages(source, schema, bad_col)
 
 
-def stream_from_files(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1000) -> DataFrame:
-    """Parsed messages of text files that arrive in a folder."""
+def stream_from_files(
+    spark: SparkSession, folder: str, schema, files_per_trigger: int = 1000, bad_col: str | None = None
+) -> DataFrame:
+    """Parsed messages of text files that arrive in a folder. ``bad_col``: see ``parse_messages``."""
     source = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
-    return parse_messages(source, schema)
+    return parse_messages(source, schema, bad_col)
 
 
 def write_available(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:

@@ -49,7 +49,8 @@ def test_load_reports_and_guard(spark, tmp_path):
     rows = {r["table"]: (r["rows"], r["status"], r["error"] is None) for r in report.collect()}
     assert rows == {"good_one": (2, "loaded", True), "bad": (None, "failed", False)}
     assert spark.table("load_test.good_one").count() == 2
-    assert tables.load_all_csv(spark, str(tmp_path), "load_test").count() == 0
+    failed = tables.load_all_csv(spark, str(tmp_path), "load_test", schemas=bad).collect()
+    assert [(r["table"], r["status"]) for r in failed] == [("bad", "failed")] and "SparkException" in failed[0]["error"] or failed[0]["error"]
     assert tables.database_has_data(spark, "load_test")
     assert tables.database_has_data(spark, "load_test", ["good_one"])
     assert not tables.database_has_data(spark, "load_test", ["good_one", "other"])
@@ -158,3 +159,40 @@ def test_stage_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
     with pytest.raises(RuntimeError):
         staging.stage_root(Session())
     assert staging.stage_root(spark)
+
+
+def test_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('b,a\n9,8\n')
+    (tmp_path / "y.csv").write_text('﻿a,"b",c\n1,2,3\n')
+    paths = [str(tmp_path / "x.csv"), str(tmp_path / "y.csv")]
+    schema = T.StructType.fromDDL("a int, b int")
+    for multi_line in (True, False):
+        rows = csv_files.read_csv(spark, paths, schema, multi_line=multi_line).collect()
+        assert sorted(map(tuple, rows)) == [(1, 2), (8, 9)]
+    with pytest.raises(ValueError, match="lacks"):
+        csv_files.read_csv(spark, paths, T.StructType.fromDDL("a int, z int"))
+
+
+def test_nan_is_missing(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("k,v\n1,NaN\n2,0.5\n")
+    rows = csv_files.read_csv(spark, str(tmp_path / "t.csv"), T.StructType.fromDDL("k int, v double")).collect()
+    assert sorted(map(tuple, rows)) == [(1, None), (2, 0.5)]
+
+
+def test_name_clashes_and_hidden_files(spark, tmp_path):
+    for folder in ("x", "y", "x/_temporary/0", "x/.hidden"):
+        (tmp_path / folder).mkdir(parents=True)
+    (tmp_path / "x/t.csv").write_text("a\n1\n")
+    (tmp_path / "x/_temporary/0/part-1.csv").write_text("a\n1\n")
+    (tmp_path / "x/.hidden/u.csv").write_text("a\n1\n")
+    assert set(csv_files.discover_csv(spark, str(tmp_path))) == {"t"}
+    (tmp_path / "y/t.csv").write_text("b\n1\n")
+    with pytest.raises(ValueError, match="two sources"):
+        csv_files.discover_csv(spark, str(tmp_path))
+
+
+def test_bad_messages_are_kept(spark):
+    schema = T.StructType.fromDDL("a int")
+    lines = spark.createDataFrame([('{"a":1}',), ("{broken",), ('{"a":null}',)], "value string")
+    rows = messages.parse_messages(lines, schema, "bad").collect()
+    assert sorted((r["a"] or 0, r["bad"] or "") for r in rows) == [(0, ""), (0, "{broken"), (1, "")]
