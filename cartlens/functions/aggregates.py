@@ -106,16 +106,13 @@ def drop_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def sums_and_distincts(
     df: DataFrame, keys: Sequence[str], sums: Sequence[Column], distincts: Mapping[str, str]
 ) -> DataFrame:
-    """Sums and several distinct counts per key (or over everything).
+    """Sums and several distinct counts per key (or over everything), in one pass over the input.
 
-    Several distinct counts in one aggregation multiply every row, with room for the sums in each copy. The
-    sums are therefore a second, narrow aggregation; both are grouped alike, so joining them moves no rows.
+    Spark expands each row once for the sums and once for every distinct count, and combines within the task, so
+    what is shuffled is one row for each key and value; the input with its joins is read once.
     """
     counts = [F.countDistinct(source).alias(name) for name, source in distincts.items()]
-    if len(counts) < 2 or not sums:
-        return df.groupBy(*keys).agg(*sums, *counts)
-    totals, counted = df.groupBy(*keys).agg(*sums), df.groupBy(*keys).agg(*counts)
-    return totals.join(counted, list(keys)) if keys else totals.crossJoin(F.broadcast(counted))
+    return df.groupBy(*keys).agg(*sums, *counts)
 
 
 def pearson(x: Column, y: Column) -> Column:
