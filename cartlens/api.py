@@ -6,6 +6,7 @@ from cartlens.operators.charts import (
     box_summary,
     combo_data,
     concentration_long,
+    heatmap_cells,
     heatmap_pivot,
     histogram,
     ols_trend,

@@ -16,7 +16,7 @@ from cartlens.functions.aggregates import (
     total,
 )
 from cartlens.functions.scalars import as_list, month, ratio
-from cartlens.operators.ordered import sort_columns
+from cartlens.operators.ordered import exact_quantiles, sort_columns
 from cartlens.operators.revenue import group_aggregate
 from cartlens.staging import stage
 
@@ -74,8 +74,7 @@ def compute_rating_summary(
 ) -> DataFrame | dict[str, DataFrame]:
     """Ratings per month (``date_col``), per entity (``group_col``), or overall.
 
-    Overall returns ``overall`` (mean and median) and ``distribution`` (count per rating). A rating scale has
-    few values, so the median's value counts are small.
+    Overall returns ``overall`` (mean and median) and ``distribution`` (count per rating).
     """
     work = df.filter(F.col(rating_col).isNotNull())
     summary = [
@@ -95,10 +94,9 @@ def compute_rating_summary(
             .filter(F.col("review_count") >= min_reviews)
             .orderBy(*sort_columns(order))
         )
+    medians = F.broadcast(exact_quantiles(work, {"median": (rating_col, 0.5)}))
     return {
-        "overall": work.agg(
-            mean(work, rating_col).alias("mean"), F.percentile(rating_col, F.lit(0.5)).alias("median")
-        ),
+        "overall": work.agg(mean(work, rating_col).alias("mean")).crossJoin(medians),
         "distribution": work.groupBy(rating_col).agg(F.count(F.lit(1)).alias("count")).orderBy(rating_col),
     }
 
@@ -178,8 +176,7 @@ def compute_market_opportunity(
 ) -> DataFrame:
     """Regions with revenue per customer at or above the median and fewer customers than the median.
 
-    The input of the medians is one row per geographic region, a small set; it is written once because the
-    medians and the flags both read it.
+    The regions are written once, because the medians and the flags both read them.
     """
     regions = (
         sums_and_distincts(
@@ -192,12 +189,8 @@ def compute_market_opportunity(
         .withColumn("orders_per_customer", ratio(F.col("orders"), F.col("customers")))
     )
     regions = stage(regions, "regions")
-    medians = F.broadcast(
-        regions.agg(
-            F.percentile("revenue_per_customer", F.lit(0.5)).alias("_median_spend"),
-            F.percentile("customers", F.lit(0.5)).alias("_median_customers"),
-        )
-    )
+    wanted = {"_median_spend": ("revenue_per_customer", 0.5), "_median_customers": ("customers", 0.5)}
+    medians = F.broadcast(exact_quantiles(regions, wanted, repeatable=True))
     flag = (F.col("revenue_per_customer") >= F.col("_median_spend")) & (
         F.col("customers") < F.col("_median_customers")
     )

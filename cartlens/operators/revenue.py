@@ -221,6 +221,18 @@ def compute_distribution_stats(
     return values, stats
 
 
+def product_figures(
+    df: DataFrame, product_col: str, revenue_col: str, order_col: str, price_col: str | None = None
+) -> DataFrame:
+    """Revenue (exact), units sold and mean price per product, without an order among them."""
+    rows = drop_null_keys(df, [product_col])
+    return rows.groupBy(product_col).agg(
+        exact_total(rows, revenue_col).alias("revenue"),
+        F.count(order_col).alias("units_sold"),
+        mean(rows, price_col or revenue_col).alias("avg_price"),
+    )
+
+
 def compute_product_performance(
     df: DataFrame,
     product_col: str,
@@ -229,12 +241,7 @@ def compute_product_performance(
     price_col: str | None = None,
 ) -> DataFrame:
     """Revenue, units sold, mean price, revenue share and revenue rank per product."""
-    rows = drop_null_keys(df, [product_col])
-    products = rows.groupBy(product_col).agg(
-        exact_total(rows, revenue_col).alias("revenue"),
-        F.count(order_col).alias("units_sold"),
-        mean(rows, price_col or revenue_col).alias("avg_price"),
-    )
+    products = product_figures(df, product_col, revenue_col, order_col, price_col)
     ranked = ordered_scan(
         products, _revenue_order([product_col]), row="revenue_rank", totals={"revenue": "_total"}
     )

@@ -110,6 +110,7 @@ def kpis(spark, sf_dir):
     return revenue.compute_kpis(frame, "price", "order_id", "customer_id", "seller_id", "freight_value")
 
 
+# The operator's column names.
 LABELS = ["total_revenue", "total_orders", "aov", "total_customers", "total_sellers", "total_freight", "freight_ratio"]
 
 

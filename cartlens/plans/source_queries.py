@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +14,7 @@ from cartlens.plans import driver_tables as driver
 from cartlens.plans import users
 from cartlens.plans.registry import query
 from cartlens.sources import csv_files, messages, tables
-from cartlens.staging import new_path
+from cartlens.staging import new_path, stage
 from cartlens.streaming import json_events
 
 CSV_TABLES = ["customer", "orders", "nation"]
@@ -69,8 +71,14 @@ def load(spark, folder, database, **options):
     )
 
 
-def new_database() -> str:
-    return f"cartlens_{uuid.uuid4().hex}"
+@contextmanager
+def database(spark) -> Iterator[str]:
+    """Name of a database that is dropped with its tables at the end of the block."""
+    name = f"cartlens_{uuid.uuid4().hex}"
+    try:
+        yield name
+    finally:
+        spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")
 
 
 @query(
@@ -80,15 +88,17 @@ FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""",
 )
 def sink_table_load(spark, sf_dir):
     # Both tables are bucketed on the customer key, so joining them moves no rows.
-    database = new_database()
-    buckets = {"orders": (8, ["o_custkey"]), "customer": (8, ["c_custkey"])}
-    load(spark, written_csv(spark, sf_dir), database, bucket_by=buckets)
-    orders, customer = spark.table(f"{database}.orders"), spark.table(f"{database}.customer")
-    joined = orders.join(customer, orders.o_custkey == customer.c_custkey)
-    return joined.groupBy("o_custkey", "c_name").agg(
-        F.count(F.lit(1)).alias("orders"),
-        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("spent"),
-    )
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = {"orders": (count, ["o_custkey"]), "customer": (count, ["c_custkey"])}
+    with database(spark) as name:
+        load(spark, written_csv(spark, sf_dir), name, bucket_by=buckets)
+        orders, customer = spark.table(f"{name}.orders"), spark.table(f"{name}.customer")
+        joined = orders.join(customer, orders.o_custkey == customer.c_custkey)
+        spent = joined.groupBy("o_custkey", "c_name").agg(
+            F.count(F.lit(1)).alias("orders"),
+            F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("spent"),
+        )
+        return stage(spent, "spent")
 
 
 @query(
@@ -98,12 +108,10 @@ UNION ALL SELECT 'first load', 'orders', count(*) FROM orders
 UNION ALL SELECT 'first load', 'nation', count(*) FROM nation""",
 )
 def sink_load_guard(spark, sf_dir):
-    folder, database = written_csv(spark, sf_dir), new_database()
+    folder = written_csv(spark, sf_dir)
     driver.table(spark, sf_dir, "region").createOrReplaceTempView("cartlens_guard_view")
-    reports = [
-        load(spark, folder, database).withColumn("step", F.lit("first load")),
-        load(spark, folder, database).withColumn("step", F.lit("second load")),
-    ]
+    with database(spark) as name:
+        reports = [load(spark, folder, name).withColumn("step", F.lit(step)) for step in ("first load", "second load")]
     spark.catalog.dropTempView("cartlens_guard_view")
     return reports[0].unionByName(reports[1]).select("step", "table", "rows")
 
@@ -120,7 +128,8 @@ def sink_load_report(spark, sf_dir):
     schemas["orders"] = T.StructType.fromDDL(
         driver.PARQUET_SCHEMAS["orders"].replace("o_orderstatus string", "o_orderstatus int")
     )
-    report = load(spark, written_csv(spark, sf_dir), new_database(), schemas=schemas)
+    with database(spark) as name:
+        report = load(spark, written_csv(spark, sf_dir), name, schemas=schemas)
     return report.select("table", "rows", "status")
 
 
@@ -132,11 +141,12 @@ UNION ALL SELECT 'mended', 'orders', 'loaded', count(*) FROM orders""",
 )
 def sink_load_again(spark, sf_dir):
     # A table that failed is loaded by the next call; the one that was loaded is left alone.
-    folder, database = written_csv(spark, sf_dir, ["customer", "orders"]), new_database()
+    folder = written_csv(spark, sf_dir, ["customer", "orders"])
     good = {n: schema_of(n) for n in CSV_TABLES}
     broken = T.StructType.fromDDL(driver.PARQUET_SCHEMAS["orders"].replace("o_orderstatus string", "o_orderstatus int"))
-    first = load(spark, folder, database, schemas={**good, "orders": broken}).withColumn("step", F.lit("first load"))
-    mended = load(spark, folder, database, schemas=good).withColumn("step", F.lit("mended"))
+    with database(spark) as name:
+        first = load(spark, folder, name, schemas={**good, "orders": broken}).withColumn("step", F.lit("first load"))
+        mended = load(spark, folder, name, schemas=good).withColumn("step", F.lit("mended"))
     return first.unionByName(mended).select("step", "table", "status", "rows")
 
 
@@ -194,17 +204,18 @@ def stream_bad_messages(spark, sf_dir):
 def users_feed(spark, sf_dir):
     # Loaded on first use, listed, sent as JSON messages and received by the stream.
     source, target = new_path(spark, "json"), new_path(spark, "stream")
-    users.get_users(
-        spark,
-        written_csv(spark, sf_dir, ["customer"]),
-        new_database(),
-        send=lambda rows: messages.write_json_lines(rows, source),
-        order_by="c_custkey",
-        table="customer",
-        schemas={"customer": schema_of("customer")},
-        recursive=True,
-        location=new_path(spark, "db"),
-    )
+    with database(spark) as name:
+        users.get_users(
+            spark,
+            written_csv(spark, sf_dir, ["customer"]),
+            name,
+            send=lambda rows: messages.write_json_lines(rows, source),
+            order_by="c_custkey",
+            table="customer",
+            schemas={"customer": schema_of("customer")},
+            recursive=True,
+            location=new_path(spark, "db"),
+        )
     stream = json_events.stream_from_files(spark, source, schema_of("customer"))
     json_events.write_available(stream, target, new_path(spark, "checkpoint"))
     return spark.read.schema(schema_of("customer")).parquet(target)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 5000
 
 
+# Names of the connection variables and their defaults.
 def jdbc_options(table: str, env: Mapping[str, str] | None = None) -> dict[str, str]:
     """Connection options for a MySQL table from ``MYSQL_*`` variables."""
     env = os.environ if env is None else env
