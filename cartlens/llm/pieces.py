@@ -114,7 +114,7 @@ def marked(text: str) -> str:
 class Memo(dict):
     """What was computed for a chunk, forgotten altogether when ``limit`` chunks are held."""
 
-    def __init__(self, compute, limit: int = 200_000) -> None:
+    def __init__(self, compute, limit: int = 400_000) -> None:
         super().__init__()
         self.compute, self.limit = compute, limit
 

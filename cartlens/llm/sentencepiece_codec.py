@@ -13,6 +13,7 @@ from array import array
 from collections.abc import Iterator, Sequence
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -67,6 +68,10 @@ def build_double_array(words: dict[str, int]) -> tuple[dict[str, int], array, ar
     return codes, base, check, value
 
 
+#: Chunks of up to this length are encoded together, so many at a time.
+_SHORT, _GROUP = 48, 8192
+
+
 class Codec:
     """Encoder and decoder over plain tables."""
 
@@ -80,7 +85,12 @@ class Codec:
         self.texts = list(pieces)
         for byte, i in enumerate(byte_ids):
             self.texts[i] = chr(byte) if byte < 128 else chr(0xDC00 + byte)
-        self.memo = Memo(self.encode_chunk, 100_000)
+        self.memo = Memo(self.encode_chunk, 300_000)
+        self.base_of, self.check_of, self.value_of = (np.array(a, np.int64) for a in (base, check, value))
+        self.code_of = np.zeros(0x110000, np.int32)
+        self.code_of[[ord(c) for c in codes]] = list(codes.values())
+        self.score_of = np.zeros(len(pieces), np.int64)
+        self.score_of[list(scores)] = list(scores.values())
 
     def encode_chunk(self, chunk: str) -> tuple[int, ...]:
         """Best piece ids of a chunk; ties go to the earliest start, as in the public tokenizer."""
@@ -122,10 +132,89 @@ class Codec:
             at = start
         return tuple(reversed(ids))
 
+    def _arcs(self, chunks: Sequence[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """start, end (positions in the joined chunks) and piece (-1: unknown) of all arcs; for one end by start."""
+        code = self.code_of[np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)]
+        limit = np.repeat(np.cumsum(sizes), sizes)
+        start = np.arange(len(code))
+        state, single, found = np.zeros(len(code), np.int64), np.zeros(len(code), bool), []
+        depth = 0
+        while len(start):
+            at = start + depth
+            inside = at < limit[start]
+            start, state, at = start[inside], state[inside], at[inside]
+            after = self.base_of[state] + code[at]
+            fits = (code[at] > 0) & (self.base_of[state] > 0) & (after < len(self.check_of))
+            fits[fits] = self.check_of[after[fits]] == state[fits]
+            start, state = start[fits], after[fits]
+            piece = self.value_of[state]
+            ends = piece >= 0
+            found.append((start[ends], start[ends] + depth + 1, piece[ends]))
+            if not depth:
+                single[start[ends]] = True
+            depth += 1
+        alone = np.flatnonzero(~single)
+        found = [*reversed(found), (alone, alone + 1, np.full(len(alone), -1))]
+        return tuple(np.concatenate(column) for column in zip(*found, strict=True))
+
+    def encode_many(self, chunks: Sequence[str]) -> list[tuple[int, ...]]:
+        """``encode_chunk`` of many chunks at once: the same search, step by step over the ends of all chunks."""
+        sizes = np.array([len(c) for c in chunks])
+        start, end, piece = self._arcs(chunks, sizes)
+        first = np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(len(chunks)), sizes)[start]
+        # Nodes: a chunk has one more than characters.
+        tail, head = start + owner, end + owner
+        step = end - first[owner]
+        order = np.argsort(head, kind="stable")
+        order = order[np.argsort(step[order].astype(np.uint16), kind="stable")]
+        tail, head, piece, step = tail[order], head[order], piece[order], step[order]
+        gain = np.where(piece >= 0, self.score_of[piece], self.unknown_score)
+        best = np.zeros(int(sizes.sum()) + len(chunks), np.int64)
+        back = np.zeros(len(best), np.int64)
+        cuts = np.searchsorted(step, np.arange(1, int(sizes.max()) + 2))
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            total = best[tail[lo:hi]] + gain[lo:hi]
+            group = head[lo:hi]
+            heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            most = np.maximum.reduceat(total, heads)
+            best[group[heads]] = most
+            winners = np.flatnonzero(total == np.repeat(most, np.diff(np.r_[heads, hi - lo])))
+            winners = winners[np.r_[True, group[winners][1:] != group[winners][:-1]]]  # the first of equals
+            back[group[winners]] = lo + winners
+        root = first + np.arange(len(chunks))
+        chunk, node = np.arange(len(chunks)), root + sizes
+        taken: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(chunk):
+            arc = back[node]
+            taken.append((chunk, piece[arc]))
+            node = tail[arc]
+            going = node != root[chunk]
+            chunk, node = chunk[going], node[going]
+        chunk = np.concatenate([c for c, _ in reversed(taken)])
+        ids = np.concatenate([i for _, i in reversed(taken)])
+        order = np.argsort(chunk, kind="stable")
+        counts = np.bincount(chunk, minlength=len(chunks))
+        ids, stops = ids[order].tolist(), np.cumsum(counts).tolist()
+        out = [tuple(ids[stop - n : stop]) for stop, n in zip(stops, counts.tolist(), strict=True)]
+        return [self.encode_chunk(c) if -1 in row else row for c, row in zip(chunks, out, strict=True)]
+
+    def learn(self, chunks: Sequence[str]) -> None:
+        """Encode chunks that are not held yet; long ones one by one."""
+        if len(self.memo) + len(chunks) > self.memo.limit:
+            self.memo.clear()
+        short = sorted((c for c in chunks if len(c) <= _SHORT), key=len)
+        for at in range(0, len(short), _GROUP):
+            group = short[at : at + _GROUP]
+            self.memo.update(zip(group, self.encode_many(group), strict=True))
+
+    def encode_batch(self, texts: Sequence[str | None]) -> list[list[int]]:
+        cut = [self.pattern.findall(marked(t)) if t else [] for t in texts]
+        self.learn(list(set(chain.from_iterable(cut)).difference(self.memo)))
+        return [list(chain.from_iterable(map(self.memo.__getitem__, chunks))) for chunks in cut]
+
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        return list(chain.from_iterable(map(self.memo.__getitem__, self.pattern.findall(marked(text)))))
+        return list(chain.from_iterable(map(self.memo.__getitem__, self.pattern.findall(marked(text))))) if text else []
 
     def decode(self, ids: Sequence[int]) -> str:
         joined = "".join(map(self.texts.__getitem__, ids))
@@ -163,7 +252,7 @@ def encode_texts(
         codec = Codec(*shared.value)
         for batch in batches(source):
             texts = batch.column(text).to_pylist()
-            rows = [codec.encode(t) for t in texts]
+            rows = codec.encode_batch(texts)
             columns = [*[batch.column(k) for k in keep], pa.array(rows, pa.list_(pa.int32()))]
             if verify:
                 columns.append(pa.array([codec.decode(ids) == (t or "") for ids, t in zip(rows, texts, strict=True)]))

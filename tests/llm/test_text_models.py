@@ -119,9 +119,10 @@ def test_codec_and_counts_match_the_library(spark, sf_dir, vocabulary, library):
     codec = sentencepiece_codec.Codec(*sentencepiece_codec.codec_tables(vocabulary))
     pieces = [(vocabulary.pieces[i], s) for i, s in vocabulary.scores.items()]
     counter = token_counts.TokenCounter(pieces, vocabulary.unknown_score, True)
-    for text in texts:
+    together = sentencepiece_codec.Codec(*sentencepiece_codec.codec_tables(vocabulary)).encode_batch(texts)
+    for text, batch_ids in zip(texts, together, strict=True):
         ids = codec.encode(text)
-        assert ids == library.encode(text), text[:80]
+        assert ids == batch_ids == library.encode(text), text[:80]
         assert counter.count(text) == len(ids)
         assert codec.decode(ids) == library.decode(ids)
         assert codec.decode(ids) == text or pc.MARK in text
