@@ -30,7 +30,9 @@ class EliasFano:
         upper = (values >> np.uint64(8 * low_bytes)).astype(np.int64) if low_bytes < 8 else np.zeros(n, np.int64)
         buckets = (universe >> (8 * low_bytes)) + 1
         bits = np.zeros((n + buckets + 7) // 8 * 8, np.uint8)
-        bits[upper + np.arange(n)] = 1  # a one for each value behind a zero for each earlier bucket
+        upper += np.arange(n)
+        bits[upper] = 1  # a one for each value behind a zero for each earlier bucket
+        del upper
         high = np.packbits(bits)
         directory = np.concatenate([[0], np.cumsum(8 - _POPCOUNT[high])]).astype(np.uint32)
         low = values.view(np.uint8).reshape(n, 8)[:, :low_bytes].ravel().copy()
@@ -64,7 +66,9 @@ class EliasFano:
         shift = np.uint64(8 * self.low_bytes)
         upper = (values >> shift).astype(np.int64)
         target = values & np.uint64((1 << (8 * self.low_bytes)) - 1)
-        lo, hi = self.bucket(upper)
+        # Neighbouring queries often share their bucket.
+        heads = np.flatnonzero(np.r_[True, upper[1:] != upper[:-1]]) if len(upper) else np.zeros(0, np.int64)
+        lo, hi = (np.repeat(v, np.diff(np.r_[heads, len(upper)])) for v in self.bucket(upper[heads]))
         end = hi.copy()
         while True:
             open_ = np.flatnonzero(lo < hi)

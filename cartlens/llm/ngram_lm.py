@@ -9,7 +9,7 @@ No task ever holds the whole model. Texts are cut into blocks, and the positions
 their context word, packed as bytes (about nine a token). A shard counts the training pairs among its positions,
 builds its trie, and answers all its positions: so counting and scoring cost one shuffle. What is not found
 backs off to the unigram of the next word, which lies elsewhere: these positions alone travel once more, to the
-shards of the unigram table. Shards answer with sums for the documents of a block, which are added up at last.
+parts of the unigram table. Shards answer with sums for the documents of a block, which are added up at last.
 
 The number of shards follows the number of tokens, so a shard has a bounded size. Contexts that would fill a
 large part of a shard ("the", the start of a text) are split: they go to shards by context and class of the next
@@ -34,8 +34,8 @@ from cartlens.llm.elias_fano import BigramTrie
 from cartlens.llm.pieces import Memo
 from cartlens.staging import stage
 
-#: Tokens of a shard, about 50 bytes each in its task.
-SHARD_TOKENS = 5_000_000
+#: Tokens of a shard; its task holds about 50 bytes of each.
+SHARD_TOKENS = 2_500_000
 #: Classes of the next word over which a frequent context is split.
 CLASSES = 16
 DISCOUNT, UNIGRAM_DISCOUNT = 0.75, 0.5
@@ -90,7 +90,8 @@ def _pack(shard_of, positions: tuple[np.ndarray, ...], block: int) -> Iterator[t
     """Rows (shard, block, bytes): distinct contexts and their number of positions, then successors and documents."""
     context, successor, document = positions
     shard = shard_of(context, successor)
-    order = np.lexsort((context, shard))
+    # One key for shard and context; contexts that agree in 40 bits may alternate, which only repeats their heads.
+    order = np.argsort(shard.astype(np.uint64) << np.uint64(40) | context >> np.uint64(24))
     context, successor, document, shard = context[order], successor[order], document[order], shard[order]
     cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
@@ -112,22 +113,29 @@ def _join(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    kinds, n = np.frombuffer(data, np.uint32, 2)
-    at = 8
-    contexts = np.frombuffer(data, np.uint64, kinds, at)
-    at += 8 * int(kinds)
-    sizes = np.frombuffer(data, np.uint32, kinds, at)
-    at += 4 * int(kinds)
-    low = np.frombuffer(data, np.uint32, n, at)
-    high = np.frombuffer(data, np.uint8, n, at + 4 * int(n))
-    document = np.frombuffer(data, np.uint8, n, at + 5 * int(n))
-    return np.repeat(contexts, sizes), _join(low, high), document
+class _Packed:
+    """One packed row: the contexts with their sizes, then successor and document of each position."""
+
+    def __init__(self, block: int, data: pa.Buffer) -> None:
+        self.block = block
+        self.trained = np.unpackbits(np.frombuffer(data, np.uint8, 32)).view(bool)
+        kinds, self.n = (int(v) for v in np.frombuffer(data, np.uint32, 2, 32))
+        self.contexts = np.frombuffer(data, np.uint64, kinds, 40)
+        at = 40 + 8 * kinds
+        self.sizes = np.frombuffer(data, np.uint32, kinds, at)
+        at += 4 * kinds
+        self.low = np.frombuffer(data, np.uint32, self.n, at)
+        self.high = np.frombuffer(data, np.uint8, self.n, at + 4 * self.n)
+        self.document = np.frombuffer(data, np.uint8, self.n, at + 5 * self.n)
+
+    def successors(self) -> np.ndarray:
+        return _join(self.low, self.high)
 
 
 def _shard_function(shards: int, frequent: np.ndarray):
     def shard_of(context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        part = np.isin(context, frequent)
+        place = np.minimum(np.searchsorted(frequent, context), max(0, len(frequent) - 1))
+        part = frequent[place] == context if len(frequent) else np.zeros(len(context), bool)
         spread = context + part * (successor % np.uint64(CLASSES) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         return ((spread >> np.uint64(17)) % np.uint64(shards)).astype(np.int64)
 
@@ -149,7 +157,7 @@ def _blocks(shared):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shards, frequent, _, _ = shared.value
+        (shards, _), frequent, _, _ = shared.value
         shard_of = _shard_function(shards, frequent[0])
         memo = Memo(token_id)
         block = TaskContext.get().partitionId() << 32
@@ -188,85 +196,97 @@ def _sums(documents: np.ndarray, *values: np.ndarray) -> bytes:
 
 
 def _answer(shared):
+    """Counts, builds and answers for one shard. Beside the packed rows it holds one sorted array of the training
+    pairs; everything else is done row by row."""
+
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        shards, (frequent, frequent_n), (total, distinct), classes = shared.value
-        kind = np.array(table.column("kind").to_pylist())
+        (_, parts), (frequent, frequent_n), (total, _), classes = shared.value
+        kind = table.column("kind").to_numpy()
         out = [tuple(r.values()) for r in table.filter(pa.array(kind == 1)).to_pylist()]
-        rows = table.filter(pa.array(kind == 0)).select(["block", "data"]).to_pylist()
+        sent = table.filter(pa.array(kind == 0))
+        rows = [_Packed(b.as_py(), d.as_buffer()) for b, d in zip(sent.column("block"), sent.column("data"), strict=True)]
         if not rows:
             return pa.Table.from_batches([_row_batch(out)]) if out else table.slice(0, 0)
-        parts = [_unpack(r["data"][32:]) for r in rows]
-        size = [len(p[0]) for p in parts]
-        context = np.concatenate([p[0] for p in parts])
-        successor = np.concatenate([p[1] for p in parts])
-        document = np.concatenate([p[2] for p in parts])
-        trained = np.concatenate(
-            [np.unpackbits(np.frombuffer(r["data"][:32], np.uint8)).view(bool)[p[2]] for r, p in zip(rows, parts, strict=True)]
-        )
-        del parts
 
-        contexts, number = np.unique(context, return_inverse=True)
+        contexts = np.unique(np.concatenate([r.contexts for r in rows]))
         at = np.minimum(np.searchsorted(frequent, contexts), max(0, len(frequent) - 1))
         split = frequent[at] == contexts if len(frequent) else np.zeros(len(contexts), bool)
-        # A split context appears once for each class of its successors that this shard has.
-        group = number.astype(np.uint64) * np.uint64(CLASSES) + np.where(split[number], successor % np.uint64(CLASSES), np.uint64(0))
-        groups, number = np.unique(group, return_inverse=True)
-        owner = (groups // np.uint64(CLASSES)).astype(np.int64)
-        of_class = (groups % np.uint64(CLASSES)).astype(np.int64)
-        del group, context
-
-        pairs = (number.astype(np.uint64) << np.uint64(BigramTrie.BITS)) | successor
-        seen, count = np.unique(pairs[trained], return_counts=True)
-        of_pair = (seen >> np.uint64(BigramTrie.BITS)).astype(np.int64)
-        here = np.bincount(of_pair, count, len(groups))
+        # A context is one group of the trie; a split one is a group for each class of its successors.
+        first = np.concatenate([[0], np.cumsum(np.where(split, CLASSES, 1))])
+        owner = np.repeat(np.arange(len(contexts)), np.diff(first))
+        of_class = np.arange(first[-1]) - first[owner]
+
+        def grouped(row: _Packed) -> tuple[np.ndarray, np.ndarray]:
+            """Group and (group, successor) pair of every position."""
+            successor = row.successors()
+            number = np.repeat(np.searchsorted(contexts, row.contexts), row.sizes)
+            group = first[number] + split[number] * (successor % np.uint64(CLASSES)).astype(np.int64)
+            return group, (group.astype(np.uint64) << np.uint64(BigramTrie.BITS)) | successor
+
+        taught = [r.trained[r.document] for r in rows]
+        pairs = np.empty(sum(int(t.sum()) for t in taught), np.uint64)
+        at_pair = 0
+        for row, mask in zip(rows, taught, strict=True):
+            mine = grouped(row)[1][mask]
+            pairs[at_pair : at_pair + len(mine)] = mine
+            at_pair += len(mine)
+        del taught
+        pairs.sort()
+        starts = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]]) if len(pairs) else np.zeros(0, np.int64)
+        count = np.diff(np.r_[starts, len(pairs)]).astype(np.uint32)
+        seen = pairs[starts]
+        del pairs, starts
+        of_pair = (seen >> np.uint64(BigramTrie.BITS)).astype(np.uint32)
+        here = np.bincount(of_pair, count, len(owner))
         whole = np.where(split[owner], frequent_n[at][owner] if len(frequent) else 0, here)
         mass = np.where(split[owner], classes[of_class], 1.0)
-        successors = np.bincount(of_pair, minlength=len(groups))
+        # Where a split context was seen, but never with this class, one successor stands for the class.
+        successors = np.maximum(np.bincount(of_pair, minlength=len(owner)), 1)
         with np.errstate(divide="ignore", invalid="ignore"):
-            back = np.where(successors > 0, np.log10(DISCOUNT * successors / whole / mass), 0.0)
-        # A split context that was seen, but never with this class: a share of one successor.
-        lonely = (successors == 0) & (whole > 0)
-        back[lonely] = np.log10(DISCOUNT / whole[lonely] / mass[lonely])
-        # A back-off weight is a share of what seen successors leave, never more than one in log terms.
-        back = np.minimum(back, 0.0)
-        trie = BigramTrie(groups, seen, np.log10((count - DISCOUNT) / whole[of_pair]), back)
-
-        log, found = np.empty(len(pairs)), np.empty(len(pairs), bool)
-        for lo in range(0, len(pairs), 1 << 20):
-            log[lo : lo + (1 << 20)], found[lo : lo + (1 << 20)] = trie.log_probability(pairs[lo : lo + (1 << 20)])
-        log = np.where(found, log, trie.backoff(number))
+            back = np.where(whole > 0, np.minimum(np.log10(DISCOUNT * successors / whole / mass), 0.0), 0.0)
+        trie = BigramTrie(np.arange(len(owner), dtype=np.uint32), seen, np.log10((count - DISCOUNT) / whole[of_pair]), back)
+        del seen, count, of_pair
 
         known_word, known_n = _relative_table(frequent, frequent_n)
-        place = np.minimum(np.searchsorted(known_word, successor), max(0, len(known_word) - 1))
-        common = ~found & (known_word[place] == successor) if len(known_word) else np.zeros(len(found), bool)
-        log[common] += np.log10((known_n[place[common]] - UNIGRAM_DISCOUNT) / total)
-        ask = ~found & ~common
-
-        n = whole[number]
-        is_word = (contexts != np.uint64(START))[owner][number]
-        base = np.log10(n + 1.0) * is_word
-        known = (n > 0) & is_word
-        lo = 0
-        for row, length in zip(rows, size, strict=True):
-            part = slice(lo, lo + length)
-            lo += length
-            out.append((2, 0, row["block"], _sums(document[part], known[part], base[part], log[part]), *_EMPTY))
-            wanted = np.flatnonzero(ask[part])
-            if len(wanted):
-                words, documents = successor[part][wanted], document[part][wanted]
-                shard = (words % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                cuts = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0, True])
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    mine = order[a:b]
-                    low, high = _split(words[mine])
-                    data = low.tobytes() + high.tobytes() + documents[mine].tobytes()
-                    out.append((3, int(shard[mine[0]]), row["block"], data, *_EMPTY))
+        is_word = contexts[owner] != np.uint64(START)
+        known, base = (whole > 0) & is_word, np.log10(whole + 1.0) * is_word
+        asked: list[tuple[np.ndarray, np.ndarray]] = []
+        for row in rows:
+            group, mine = grouped(row)
+            log, found = trie.log_probability(mine)
+            log = np.where(found, log, trie.backoff(group))
+            wanted = np.flatnonzero(~found)
+            successor = row.successors()[wanted]
+            if len(known_word):
+                place = np.minimum(np.searchsorted(known_word, successor), len(known_word) - 1)
+                common = known_word[place] == successor
+                log[wanted[common]] += np.log10((known_n[place[common]] - UNIGRAM_DISCOUNT) / total)
+                wanted, successor = wanted[~common], successor[~common]
+            out.append((2, 0, row.block, _sums(row.document, known[group], base[group], log), *_EMPTY))
+            asked.append((successor, row.document[wanted]))
+        out += [(3, part, None, data, *_EMPTY) for part, data in _questions(rows, asked, parts)]
         return pa.Table.from_batches([_row_batch(out)])
 
     return run
 
 
+def _questions(rows: list[_Packed], asked: list[tuple[np.ndarray, np.ndarray]], parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, bytes) for the unigram table's parts: blocks with their number of positions, successors, documents."""
+    word = np.concatenate([w for w, _ in asked])
+    document = np.concatenate([d for _, d in asked])
+    block = np.repeat(np.array([r.block for r in rows]), [len(w) for w, _ in asked])
+    part = (word % np.uint64(parts)).astype(np.int64)
+    for k in np.unique(part):
+        at = np.flatnonzero(part == k)
+        at = at[np.argsort(block[at], kind="stable")]
+        mine = block[at]
+        first = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
+        low, high = _split(word[at])
+        head = np.array([len(first), len(at)], np.int64)
+        sizes = np.diff(np.r_[first, len(mine)])
+        yield int(k), b"".join(a.tobytes() for a in (head, mine[first], sizes, low, high, document[at]))
+
+
 def _relative_table(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts of frequent tokens by their relative id, sorted; the start is no successor."""
     words = ids != np.uint64(START)
@@ -284,19 +304,33 @@ def _unigrams(shared):
         order = np.argsort(words)
         words, n = words[order], table.column("n").to_numpy()[order]
         unknown = math.log10(UNIGRAM_DISCOUNT * distinct / total) if total else 0.0
-        out = []
-        for row in questions.select(["block", "data"]).to_pylist():
-            size = len(row["data"]) // 6
-            low, high = np.frombuffer(row["data"], np.uint32, size), np.frombuffer(row["data"], np.uint8, size, 4 * size)
-            document = np.frombuffer(row["data"], np.uint8, size, 5 * size)
-            asked = _join(low, high)
+        out: list[tuple] = []
+        sums: dict[int, np.ndarray] = {}
+
+        def flush() -> None:
+            nothing, every = np.zeros(256), np.arange(256)
+            out.extend((2, 0, block, _sums(every, nothing, nothing, log), *_EMPTY) for block, log in sums.items())
+            sums.clear()
+
+        for value in questions.column("data"):
+            data = value.as_buffer()
+            blocks, size = (int(v) for v in np.frombuffer(data, np.int64, 2))
+            block, sizes = np.frombuffer(data, np.int64, 2 * blocks, 16).reshape(2, blocks)
+            at = 16 + 16 * blocks
+            asked = _join(np.frombuffer(data, np.uint32, size, at), np.frombuffer(data, np.uint8, size, at + 4 * size))
+            document = np.frombuffer(data, np.uint8, size, at + 5 * size)
             log = np.full(size, unknown)
             if len(words):
-                at = np.minimum(np.searchsorted(words, asked), len(words) - 1)
-                hit = words[at] == asked
-                log[hit] = np.log10((n[at[hit]] - UNIGRAM_DISCOUNT) / total)
-            nothing = np.zeros(size)
-            out.append((2, 0, row["block"], _sums(document, nothing, nothing, log), *_EMPTY))
+                place = np.minimum(np.searchsorted(words, asked), len(words) - 1)
+                hit = words[place] == asked
+                log[hit] = np.log10((n[place[hit]] - UNIGRAM_DISCOUNT) / total)
+            last = np.cumsum(sizes)
+            for number, lo, hi in zip(block.tolist(), (last - sizes).tolist(), last.tolist(), strict=True):
+                one = np.bincount(document[lo:hi], log[lo:hi], 256)
+                sums[number] = sums[number] + one if number in sums else one
+            if len(sums) > 20_000:
+                flush()
+        flush()
         return pa.Table.from_batches([_row_batch(out)]) if out else questions.slice(0, 0).drop_columns(["spread"])
 
     return run
@@ -360,11 +394,13 @@ def score_texts(
         frequent[row["id"] & (1 << 64) - 1] = row["n"]
     ids = np.array(sorted(frequent), np.uint64)
     counts = np.array([frequent[int(i)] for i in ids], np.int64)
-    shared = spark.sparkContext.broadcast((shards, (ids, counts), (int(total), int(distinct)), classes))
+    # Parts of the unigram table: their words and questions are a task's load.
+    parts = max(1, -(-max(int(distinct), shards * shard_tokens // 8) // shard_tokens))
+    shared = spark.sparkContext.broadcast(((shards, parts), (ids, counts), (int(total), int(distinct)), classes))
 
     sent = rows.mapInArrow(_blocks(shared), ROWS)
     answered = stage(sent.groupBy("shard").applyInArrow(_answer(shared), ROWS), "answers")
-    spread = F.pmod(F.col("word"), F.lit(shards)).cast("int")
+    spread = F.pmod(F.col("word"), F.lit(parts)).cast("int")
     unigrams = table.select(word.alias("word"), "n").withColumn("spread", spread)
     questions = answered.where("kind = 3").withColumn("spread", F.col("shard"))
     backed = questions.groupBy("spread").cogroup(unigrams.groupBy("spread")).applyInArrow(_unigrams(shared), ROWS)
