@@ -333,3 +333,18 @@ def test_series_long(spark):
 def test_nan_becomes_null(spark):
     df = spark.sql("SELECT double('NaN') AS a, 1 AS b")
     assert tuple(nan_to_null(df).first()) == (None, 1)
+
+
+def test_distinct_counts_read_the_input_once(spark, sf_dir):
+    from cartlens.plans import catalog
+    from cartlens.session import tune
+
+    tune(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for key in ("kpis", "q09_customer_value_by_city", "q16_sellers_by_region", "q17_states_by_revenue"):
+            plan = catalog.QUERIES[key](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+            assert len([line for line in plan.splitlines() if "Relation" in line and "l_extendedprice" in line]) == 1, key
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
