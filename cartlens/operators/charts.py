@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartlens.functions.aggregates import drop_null_keys, mean
-from cartlens.functions.scalars import as_list, ratio
+from cartlens.functions.scalars import as_list, nan_to_null, ratio
 from cartlens.operators.ordered import exact_quantiles, sort_columns, top_rows
 from cartlens.staging import stage
 
@@ -19,7 +19,7 @@ def top_n_by(
     """The ``n`` largest (or smallest) rows; missing values only fill up. ``ties`` break equal values."""
     if n is None:
         return df
-    return top_rows(df, [(value_col, ascending), *[(t, True) for t in ties]], n)
+    return top_rows(nan_to_null(df), [(value_col, ascending), *[(t, True) for t in ties]], n)
 
 
 def bar_data(
@@ -80,7 +80,7 @@ def ols_trend(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFr
 
 def histogram(df: DataFrame, value_col: str, bins: int = 40) -> DataFrame:
     """Equal-width bins between the smallest and largest value: ``bin``, its bounds and ``count``."""
-    rows = df.select(F.col(value_col).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    rows = nan_to_null(df.select(F.col(value_col).cast("double").alias("v"))).filter(F.col("v").isNotNull())
     span = F.broadcast(rows.agg(F.min("v").alias("_lo"), F.max("v").alias("_hi")))
     lo, hi = F.col("_lo"), F.col("_hi")
     # The largest value would fall behind the last bin; one value for all has no width to cut.
@@ -102,7 +102,7 @@ def histogram(df: DataFrame, value_col: str, bins: int = 40) -> DataFrame:
 
 def box_summary(df: DataFrame, value_col: str) -> DataFrame:
     """One row: quartiles, 1.5 IQR fences, the whisker ends inside them and the count of outliers."""
-    rows = df.select(F.col(value_col).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    rows = nan_to_null(df.select(F.col(value_col).cast("double").alias("v"))).filter(F.col("v").isNotNull())
     rows = stage(rows, "box")
     quartiles = F.broadcast(
         exact_quantiles(

@@ -17,7 +17,7 @@ from cartlens.functions.aggregates import (
     mean,
     sums_and_distincts,
 )
-from cartlens.functions.scalars import as_list, ratio, ratio_or_zero
+from cartlens.functions.scalars import as_list, nan_to_null, ratio, ratio_or_zero
 from cartlens.operators.ordered import (
     exact_quantiles,
     ordered_scan,
@@ -196,7 +196,7 @@ def compute_concentration_stats(
 
 def entity_values(df: DataFrame, group_col: str | Sequence[str], value_col: str, agg: str = "sum") -> DataFrame:
     """One aggregated value per entity."""
-    return group_aggregate(df, as_list(group_col), {value_col: (value_col, agg)})
+    return group_aggregate(nan_to_null(df), as_list(group_col), {value_col: (value_col, agg)})
 
 
 def compute_distribution_stats(

@@ -348,3 +348,14 @@ def test_distinct_counts_read_the_input_once(spark, sf_dir):
             assert len([line for line in plan.splitlines() if "Relation" in line and "l_extendedprice" in line]) == 1, key
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_nan_counts_as_missing(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", float("nan"))], "k string, v double")
+    bins = charts.histogram(df, "v", bins=4).collect()
+    assert [(r["bin"], r["count"]) for r in bins] == [(1, 1), (4, 1)]
+    _, stats = revenue.compute_distribution_stats(df, "k", "v", "mean")
+    row = stats.first()
+    assert (row["mean"], row["median"]) == (1.5, 1.5)
+    assert charts.top_n_by(df, "v", 1).first()["k"] == "b"
+    assert charts.box_summary(df, "v").count() == 1
