@@ -2,8 +2,9 @@
 
 A language is a distribution over the pieces of a fixed public vocabulary. The probability of a text is the sum
 over all its segmentations into pieces, which a forward pass over the lattice of matching pieces computes for all
-languages at once. Texts are lower-cased and cut into chunks that no piece crosses, so the sum over the whole text
-is a product over chunks, and a chunk is computed once a task.
+languages at once. Texts are lower-cased and reduced to their words, the runs of letters with the vocabulary's mark
+before them. No piece of letters crosses a word, so the sum over the whole text is a product over words, and a word
+is computed once a task.
 
 Training counts every chunk of every labelled text, weighs the pieces of a chunk by their posterior under the
 vocabulary's own scores (forward and backward pass), and sums these expected counts by language in Spark. The
@@ -17,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartlens.llm.common import batches, prepare
-from cartlens.llm.pieces import MODEL_PATH, UNIT, chunk_pattern, marked, read_vocabulary
+from cartlens.llm.pieces import MARK, MODEL_PATH, UNIT, read_vocabulary
 
 #: Longer chunks are cut; keeps products above the smallest double.
 MAX_CHUNK = 32
@@ -35,7 +37,10 @@ UNKNOWN = -16.0
 #: Pseudo-counts spread over the vocabulary's own distribution.
 SMOOTHING = 2000.0
 _GROUP = 4096
-_HELD = 150_000
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: No text has a lone surrogate, so no chunk holds the separator.
+_SEPARATOR = "\ud800"
+_HELD = 400_000
 UNDETERMINED = "und"
 
 
@@ -43,49 +48,47 @@ class Lattice:
     """All segmentations of chunks; ``pieces`` in id order, the unknown character is id len(pieces)."""
 
     def __init__(self, pieces: Sequence[str]) -> None:
-        self.automaton = ahocorasick.Automaton()
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for number, piece in enumerate(pieces):
-            self.automaton.add_word(piece, (len(piece), number))
+            self.automaton.add_word(piece, number << 8 | len(piece))
         self.automaton.make_automaton()
         self.unknown = len(pieces)
-        self.pattern = chunk_pattern(pieces)
-        self.long = re.compile(rf"(?s).{{1,{MAX_CHUNK}}}")
 
     def chunks(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        found = self.pattern.findall(marked(text.lower()))
-        if max(map(len, found)) > MAX_CHUNK:
-            found = [part for chunk in found for part in self.long.findall(chunk)]
+        """Runs of letters, lower-cased; a run of more than ``MAX_CHUNK`` is cut."""
+        found = _LETTERS.findall(text.lower()) if text else []
+        if found and max(map(len, found)) > MAX_CHUNK:
+            found = [run[k : k + MAX_CHUNK] for run in found for k in range(0, len(run), MAX_CHUNK)]
         return found
 
     def arcs(self, chunks: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """chunk, start, end and piece of every arc."""
-        which, starts, ends, numbers = [], [], [], []
-        for k, chunk in enumerate(chunks):
-            single = set()
-            for last, (length, number) in self.automaton.iter(chunk):
-                which.append(k)
-                starts.append(last + 1 - length)
-                ends.append(last + 1)
-                numbers.append(number)
-                if length == 1:
-                    single.add(last)
-            for at in range(len(chunk)):
-                if at not in single:
-                    which.append(k)
-                    starts.append(at)
-                    ends.append(at + 1)
-                    numbers.append(self.unknown)
-        return tuple(np.array(v, np.int32) for v in (which, starts, ends, numbers))
+        """chunk, start, end and piece of every arc, by chunk.
+
+        The automaton reads all chunks as one text; the separator is no part of any piece.
+        """
+        sizes = np.array([len(c) for c in chunks])
+        first = np.cumsum(sizes + 1) - sizes - 1
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(_SEPARATOR.join(chunks))), np.int64).reshape(-1, 2)
+        owner = np.repeat(np.arange(len(chunks)), sizes + 1)
+        last, length, number = found[:, 0], found[:, 1] & 255, found[:, 1] >> 8
+        single = np.zeros(len(owner), bool)
+        single[last[length == 1]] = True
+        single[first + sizes] = True  # separators
+        alone = np.flatnonzero(~single)
+        which = np.concatenate([owner[last], owner[alone]])
+        end = np.concatenate([last, alone]) + 1 - first[which]
+        start = end - np.concatenate([length, np.ones(len(alone), np.int64)])
+        return which, start, end, np.concatenate([number, np.full(len(alone), self.unknown)])
 
 
 def _sweep(which, here, there, gains, table, steps) -> None:
     """table[chunk, here] += table[chunk, there] * gains, for ``here`` in ``steps`` order."""
-    order = np.lexsort((which, here))
+    order = np.argsort(which.astype(np.uint16), kind="stable")
+    order = order[np.argsort(here[order].astype(np.uint8), kind="stable")]
     which, here, there, gains = which[order], here[order], there[order], gains[order]
+    cuts = np.searchsorted(here, np.arange(table.shape[1] + 1))
     for step in steps:
-        lo, hi = np.searchsorted(here, step), np.searchsorted(here, step, "right")
+        lo, hi = cuts[step], cuts[step + 1]
         if lo == hi:
             continue
         chunk = which[lo:hi]
@@ -130,6 +133,12 @@ class LanguageModel:
     prior: np.ndarray  # log, by language
 
 
+def _is_word_part(piece: str) -> bool:
+    """Letters, with at most one mark before them, or the mark alone."""
+    letters = piece.removeprefix(MARK)
+    return not letters or bool(_LETTERS.fullmatch(letters))
+
+
 def _base(scores: Sequence[int]) -> np.ndarray:
     weight = np.exp(np.array(scores, float) / UNIT)
     return np.append(weight / weight.sum(), math.exp(UNKNOWN))
@@ -144,8 +153,8 @@ def fit_languages(
     """
     spark = prepare(docs.sparkSession)
     vocabulary = read_vocabulary(model_path)
-    pieces = [vocabulary.pieces[i] for i in vocabulary.scores]
-    base = _base(list(vocabulary.scores.values()))
+    letters = {vocabulary.pieces[i]: score for i, score in vocabulary.scores.items() if _is_word_part(vocabulary.pieces[i])}
+    pieces, base = list(letters), _base(list(letters.values()))
     shared = spark.sparkContext.broadcast((pieces, base))
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,8 +167,8 @@ def fit_languages(
             languages = sorted(seen)
             chunks = sorted({c for counts in seen.values() for c in counts})
             if chunks:
-                weights = np.array([[seen[name][c] for name in languages] for c in chunks], float)
-                total = expected_counts(lattice, chunks, weights, base)
+                weights = np.array([[seen[name].get(c, 0) for name in languages] for c in chunks], float)
+                total = expected_counts(lattice, [MARK + c for c in chunks], weights, base)
                 language, piece = np.nonzero(total)
                 yield rows([languages[k] for k in language], piece, total[language, piece])
             if documents:
@@ -210,7 +219,9 @@ class Identifier:
         chunks = sorted(chunks, key=len)
         for at in range(0, len(chunks), _GROUP):
             group = chunks[at : at + _GROUP]
-            _, whole = forward(self.lattice.arcs(group), np.array([len(c) for c in group]), self.probability)
+            _, whole = forward(
+                self.lattice.arcs([MARK + c for c in group]), np.array([len(c) + 1 for c in group]), self.probability
+            )
             for chunk in group:
                 self.rows[chunk] = len(self.rows)
             self.logs.append(np.log(np.maximum(whole, 1e-300)))
@@ -220,7 +231,7 @@ class Identifier:
         if len(self.rows) > _HELD:
             self.rows, self.logs = {}, []
         cut = [self.lattice.chunks(t) if t and self.languages and any(map(str.isalpha, t)) else [] for t in texts]
-        fresh = {c for chunks in cut for c in chunks if c not in self.rows}
+        fresh = set(chain.from_iterable(cut)).difference(self.rows)
         if fresh:
             self._learn(list(fresh))
             self.logs = [np.concatenate(self.logs)]
@@ -230,7 +241,7 @@ class Identifier:
                 names.append(UNDETERMINED)
                 scores.append(0.0)
                 continue
-            total = self.prior + self.logs[0][[self.rows[c] for c in chunks]].sum(axis=0)
+            total = self.prior + self.logs[0][np.fromiter(map(self.rows.__getitem__, chunks), np.int64, len(chunks))].sum(axis=0)
             best = int(total.argmax())
             names.append(self.languages[best])
             scores.append(float(1.0 / np.exp(total - total[best]).sum()))
