@@ -133,6 +133,37 @@ def test_one_of_each_group_against_all_pairs(spark):
     assert len(kept) <= len(set(want.values())) + 2  # a text with one borderline partner may stay
 
 
+def groups_of(texts):
+    sets = [shingles(t) for t in texts]
+    alike = [(a, b) for a, b in combinations(range(len(texts)), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0]
+    return components(range(len(texts)), alike)
+
+
+def kept_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    return sorted(r.doc_id for r in simhash_groups.one_of_each_group(docs).collect())
+
+
+def altered(rng, base, changes):
+    words = list(base)
+    for at in rng.sample(range(len(base)), changes):
+        words[at] = f"w{rng.getrandbits(40):x}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("turns", [0, 2])
+def test_large_family_without_its_base_equals_all_pairs(spark, turns, monkeypatch):
+    """Members about 0.8 from each other: whether two are linked is a matter of a few shingles."""
+    monkeypatch.setattr(simhash_groups, "TURNS", turns)
+    monkeypatch.setattr(simhash_groups, "BLOCK", 100)
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(150)]
+    texts = [altered(rng, base, rng.choice((2, 3, 3, 4, 4))) for _ in range(300)]
+    want = sorted(set(groups_of(texts).values()))
+    assert 1 < len(want) < len(texts) - 50
+    assert kept_of(spark, texts) == want
+
+
 def test_one_of_each_group_of_messy_rows(spark, messy, no_docs):
     kept = simhash_groups.one_of_each_group(messy)
     assert kept.columns == messy.columns
