@@ -164,6 +164,28 @@ def test_large_family_without_its_base_equals_all_pairs(spark, turns, monkeypatc
     assert kept_of(spark, texts) == want
 
 
+def pairs_near(low, high, sizes, seed):
+    """Pairs of texts of ``sizes`` shingles with a similarity in [low, high)."""
+    rng, texts = random.Random(seed), []
+    for k, n in enumerate(sizes):
+        base = [f"p{k}x{i}" for i in range(n + 4)]
+        while True:
+            changed = altered(rng, base, rng.randint(1, max(1, n // 30)))
+            a, b = shingles(" ".join(base)), shingles(changed)
+            if low <= len(a & b) / len(a | b) < high:
+                break
+        texts += [" ".join(base), changed]
+    return texts
+
+
+def test_similarity_of_long_texts_is_exact(spark):
+    """A sample of 256 shingles cannot tell 0.79 from 0.81."""
+    sizes = [400, 700, 1500, 3000] * 5
+    apart, alike = pairs_near(0.78, 0.8, sizes, 1), pairs_near(0.8, 0.82, sizes, 2)
+    assert kept_of(spark, apart) == list(range(len(apart)))
+    assert kept_of(spark, alike) == list(range(0, len(alike), 2))
+
+
 def test_one_of_each_group_of_messy_rows(spark, messy, no_docs):
     kept = simhash_groups.one_of_each_group(messy)
     assert kept.columns == messy.columns
