@@ -186,6 +186,12 @@ def test_similarity_of_long_texts_is_exact(spark):
     assert kept_of(spark, alike) == list(range(0, len(alike), 2))
 
 
+def test_no_pair_just_above_the_limit_is_lost(spark):
+    sizes = [60, 70, 90, 130, 200, 255] * 10 + [6000]
+    alike = pairs_near(0.8, 0.82, sizes, 4)
+    assert kept_of(spark, alike) == list(range(0, len(alike), 2))
+
+
 def test_one_of_each_group_of_messy_rows(spark, messy, no_docs):
     kept = simhash_groups.one_of_each_group(messy)
     assert kept.columns == messy.columns
