@@ -2,9 +2,9 @@
 
 A language is a distribution over the pieces of a fixed public vocabulary. The probability of a text is the sum
 over all its segmentations into pieces, which a forward pass over the lattice of matching pieces computes for all
-languages at once. Texts are lower-cased and reduced to their words, the runs of letters with the vocabulary's mark
-before them. No piece of letters crosses a word, so the sum over the whole text is a product over words, and a word
-is computed once a task.
+languages at once. Texts are lower-cased, marked and cut into chunks that no piece crosses, so the sum over the whole
+text is a product over chunks, and a chunk is computed once a task. Chunks may have any length: those of more than
+``SHORT`` characters are summed as logarithms.
 
 Training counts every chunk of every labelled text, weighs the pieces of a chunk by their posterior under the
 vocabulary's own scores (forward and backward pass), and sums these expected counts by language in Spark. The
@@ -14,7 +14,6 @@ model that reaches the driver has a number for each language and piece, whatever
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -28,16 +27,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartlens.llm.common import batches, prepare
-from cartlens.llm.pieces import MARK, MODEL_PATH, UNIT, read_vocabulary
+from cartlens.llm.pieces import MODEL_PATH, UNIT, chunk_pattern, marked, read_vocabulary
 
-#: Longer chunks are cut; keeps products above the smallest double.
-MAX_CHUNK = 32
+#: Products over longer chunks could fall below the smallest double.
+SHORT = 32
 #: Log probability of a character no piece matches.
 UNKNOWN = -16.0
 #: Pseudo-counts spread over the vocabulary's own distribution.
 SMOOTHING = 2000.0
 _GROUP = 4096
-_LETTERS = re.compile(r"[^\W\d_]+")
+_CELLS = _GROUP * (SHORT + 1)
 #: No text has a lone surrogate, so no chunk holds the separator.
 _SEPARATOR = "\ud800"
 _HELD = 400_000
@@ -53,13 +52,11 @@ class Lattice:
             self.automaton.add_word(piece, number << 8 | len(piece))
         self.automaton.make_automaton()
         self.unknown = len(pieces)
+        self.pattern = chunk_pattern(pieces)
 
     def chunks(self, text: str | None) -> list[str]:
-        """Runs of letters, lower-cased; a run of more than ``MAX_CHUNK`` is cut."""
-        found = _LETTERS.findall(text.lower()) if text else []
-        if found and max(map(len, found)) > MAX_CHUNK:
-            found = [run[k : k + MAX_CHUNK] for run in found for k in range(0, len(run), MAX_CHUNK)]
-        return found
+        """The whole text, lower-cased and marked, in parts that no piece crosses."""
+        return self.pattern.findall(marked(text.lower())) if text else []
 
     def arcs(self, chunks: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """chunk, start, end and piece of every arc, by chunk.
@@ -81,10 +78,45 @@ class Lattice:
         return which, start, end, np.concatenate([number, np.full(len(alone), self.unknown)])
 
 
+def _groups(chunks: Sequence[str]) -> Iterator[list[int]]:
+    """Numbers of chunks by length, in groups whose tables are bounded (one longer chunk stays whole)."""
+    group: list[int] = []
+    for k in sorted(range(len(chunks)), key=lambda k: len(chunks[k])):
+        n = len(chunks[k])
+        if group and ((len(group) + 1) * (n + 1) > _CELLS or len(group) == _GROUP or len(chunks[group[0]]) <= SHORT < n):
+            yield group
+            group = []
+        group.append(k)
+    if group:
+        yield group
+
+
+def _by_step(which, here) -> np.ndarray:
+    order = np.argsort(which.astype(np.uint16), kind="stable")
+    small = here[order].astype(np.uint8 if here.max(initial=0) < 256 else np.int64)
+    return order[np.argsort(small, kind="stable")]
+
+
+def _log_sweep(which, here, there, gains, table, steps) -> None:
+    """As ``_sweep``, of logarithms: nothing underflows, whatever the length."""
+    order = _by_step(which, here)
+    which, here, there, gains = which[order], here[order], there[order], gains[order]
+    cuts = np.searchsorted(here, np.arange(table.shape[1] + 1))
+    for step in steps:
+        lo, hi = cuts[step], cuts[step + 1]
+        if lo == hi:
+            continue
+        chunk = which[lo:hi]
+        first = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
+        terms = table[chunk, there[lo:hi]] + gains[lo:hi]
+        top = np.maximum.reduceat(terms, first, axis=0)
+        shifted = np.exp(terms - np.repeat(top, np.diff(np.r_[first, len(chunk)]), axis=0))
+        table[chunk[first], step] = top + np.log(np.add.reduceat(shifted, first, axis=0))
+
+
 def _sweep(which, here, there, gains, table, steps) -> None:
     """table[chunk, here] += table[chunk, there] * gains, for ``here`` in ``steps`` order."""
-    order = np.argsort(which.astype(np.uint16), kind="stable")
-    order = order[np.argsort(here[order].astype(np.uint8), kind="stable")]
+    order = _by_step(which, here)
     which, here, there, gains = which[order], here[order], there[order], gains[order]
     cuts = np.searchsorted(here, np.arange(table.shape[1] + 1))
     for step in steps:
@@ -105,21 +137,33 @@ def forward(arcs, sizes: np.ndarray, probability: np.ndarray) -> tuple[np.ndarra
     return alpha, alpha[np.arange(len(sizes)), sizes]
 
 
+def log_forward(arcs, sizes: np.ndarray, probability: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of what ``forward`` returns, for chunks of any length."""
+    which, start, end, number = arcs
+    alpha = np.zeros((len(sizes), int(sizes.max()) + 1, probability.shape[1]))
+    _log_sweep(which, end, start, np.log(probability)[number], alpha, range(1, alpha.shape[1]))
+    return alpha, alpha[np.arange(len(sizes)), sizes]
+
+
 def expected_counts(lattice: Lattice, chunks: Sequence[str], weights: np.ndarray, base: np.ndarray) -> np.ndarray:
     """Expected pieces (language, piece) of chunks that occur ``weights`` (chunk, language) times."""
     total = np.zeros((weights.shape[1], lattice.unknown + 1))
-    order = sorted(range(len(chunks)), key=lambda k: len(chunks[k]))
-    for at in range(0, len(order), _GROUP):
-        part = order[at : at + _GROUP]
+    for part in _groups(chunks):
         group = [chunks[k] for k in part]
         arcs = lattice.arcs(group)
         which, start, end, number = arcs
         sizes = np.array([len(c) for c in group])
-        alpha, whole = forward(arcs, sizes, base[:, None])
-        beta = np.zeros_like(alpha)
-        beta[np.arange(len(group)), sizes] = 1.0
-        _sweep(which, start, end, base[number][:, None], beta, range(beta.shape[1] - 2, -1, -1))
-        share = alpha[which, start, 0] * base[number] * beta[which, end, 0] / whole[which, 0]
+        if sizes.max() > SHORT:
+            alpha, whole = log_forward(arcs, sizes, base[:, None])
+            beta, gains = np.zeros_like(alpha), np.log(base)[number]
+            _log_sweep(which, start, end, gains[:, None], beta, range(beta.shape[1] - 2, -1, -1))
+            share = np.exp(alpha[which, start, 0] + gains + beta[which, end, 0] - whole[which, 0])
+        else:
+            alpha, whole = forward(arcs, sizes, base[:, None])
+            beta = np.zeros_like(alpha)
+            beta[np.arange(len(group)), sizes] = 1.0
+            _sweep(which, start, end, base[number][:, None], beta, range(beta.shape[1] - 2, -1, -1))
+            share = alpha[which, start, 0] * base[number] * beta[which, end, 0] / whole[which, 0]
         for language in range(weights.shape[1]):
             total[language] += np.bincount(number, share * weights[part, language][which], len(total[language]))
     return total
@@ -133,12 +177,6 @@ class LanguageModel:
     prior: np.ndarray  # log, by language
 
 
-def _is_word_part(piece: str) -> bool:
-    """Letters, with at most one mark before them, or the mark alone."""
-    letters = piece.removeprefix(MARK)
-    return not letters or bool(_LETTERS.fullmatch(letters))
-
-
 def _base(scores: Sequence[int]) -> np.ndarray:
     weight = np.exp(np.array(scores, float) / UNIT)
     return np.append(weight / weight.sum(), math.exp(UNKNOWN))
@@ -153,8 +191,7 @@ def fit_languages(
     """
     spark = prepare(docs.sparkSession)
     vocabulary = read_vocabulary(model_path)
-    letters = {vocabulary.pieces[i]: score for i, score in vocabulary.scores.items() if _is_word_part(vocabulary.pieces[i])}
-    pieces, base = list(letters), _base(list(letters.values()))
+    pieces, base = [vocabulary.pieces[i] for i in vocabulary.scores], _base(list(vocabulary.scores.values()))
     shared = spark.sparkContext.broadcast((pieces, base))
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +205,7 @@ def fit_languages(
             chunks = sorted({c for counts in seen.values() for c in counts})
             if chunks:
                 weights = np.array([[seen[name].get(c, 0) for name in languages] for c in chunks], float)
-                total = expected_counts(lattice, [MARK + c for c in chunks], weights, base)
+                total = expected_counts(lattice, chunks, weights, base)
                 language, piece = np.nonzero(total)
                 yield rows([languages[k] for k in language], piece, total[language, piece])
             if documents:
@@ -216,15 +253,14 @@ class Identifier:
         self.logs: list[np.ndarray] = []
 
     def _learn(self, chunks: list[str]) -> None:
-        chunks = sorted(chunks, key=len)
-        for at in range(0, len(chunks), _GROUP):
-            group = chunks[at : at + _GROUP]
-            _, whole = forward(
-                self.lattice.arcs([MARK + c for c in group]), np.array([len(c) + 1 for c in group]), self.probability
-            )
+        for part in _groups(chunks):
+            group = [chunks[k] for k in part]
+            arcs, sizes = self.lattice.arcs(group), np.array([len(c) for c in group])
+            long = sizes.max() > SHORT
+            _, whole = (log_forward if long else forward)(arcs, sizes, self.probability)
             for chunk in group:
                 self.rows[chunk] = len(self.rows)
-            self.logs.append(np.log(np.maximum(whole, 1e-300)))
+            self.logs.append(whole if long else np.log(np.maximum(whole, 1e-300)))
 
     def identify(self, texts: Sequence[str | None]) -> tuple[list[str], list[float]]:
         """Language and its posterior; ``und`` and 0 for a null text or one without a letter."""

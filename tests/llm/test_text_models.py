@@ -181,6 +181,31 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(expected[0][:3], [2 * split / (split + joined)] * 2 + [2 * joined / (split + joined)])
 
 
+def test_whole_texts_are_scored(vocabulary):
+    pieces = [vocabulary.pieces[i] for i in vocabulary.scores]
+    lattice = language_id.Lattice(pieces)
+    for text in ("¿qué? «l'eau» 12,5", "नमस्ते दुनिया", "x" * 500):
+        assert "".join(lattice.chunks(text)) == pc.marked(text)
+
+
+def test_long_chunks_are_not_cut():
+    """Sums over chunks of any length, also far below the smallest double."""
+    lattice = language_id.Lattice(["a", "aa"])
+    p = np.array([[0.01, 0.02], [0.001, 0.003], [1e-7, 1e-7]])
+    model = language_id.Identifier(["x", "y"], ["a", "aa"], p, np.zeros(2))
+    chunks = ["a" * n for n in (5, 40, 1000)]
+    model._learn(chunks)
+    logs = np.concatenate(model.logs)
+    for chunk in chunks:
+        before, last, scale = np.ones(2), p[0].copy(), np.zeros(2)
+        for _ in range(len(chunk) - 1):
+            before, last = last, p[0] * last + p[1] * before
+            scale, before, last = scale + np.log(last), before / last, np.ones(2)
+        assert np.allclose(logs[model.rows[chunk]], np.log(last) + scale)
+    one = language_id.expected_counts(lattice, ["a" * 1000], np.array([[1.0]]), p[:, 0])
+    assert math.isclose(one[0][0] + 2 * one[0][1], 1000, rel_tol=1e-9)
+
+
 def test_languages_held_out(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     rows = QUERIES["op5_language_id"](spark, sf_dir).join(docs, "doc_id").where("held_out").collect()
