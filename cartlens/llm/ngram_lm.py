@@ -13,8 +13,9 @@ parts of the unigram table. Shards answer with sums for the documents of a block
 
 The number of shards follows the number of tokens, so a shard has a bounded size. Contexts that would fill a
 large part of a shard ("the", the start of a text) are split: they go to shards by context and class of the next
-word (``CLASSES`` classes by hash), and the pair is predicted by class and by word in the class. Their counts,
-at most ``4`` a shard, are the only ones that are broadcast.
+word (``CLASSES`` classes by hash). Their counts, at most ``4`` a shard, are the only ones that are broadcast. The
+model is the same for them: shards report how many successors they saw and which positions back off, and the
+back-off of the whole context is added with the sums of a document. So scores do not depend on the shards.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartlens.llm.common import batches, prepare
-from cartlens.llm.elias_fano import BigramTrie
+from cartlens.llm.elias_fano import STEP, BigramTrie, quantise
 from cartlens.llm.pieces import Memo
 from cartlens.staging import stage
 
@@ -142,7 +143,8 @@ def _shard_function(shards: int, frequent: np.ndarray):
     return shard_of
 
 
-#: kind 0: positions; 1: the documents of a block; 2: sums by document; 3: questions to the unigram table.
+#: kind 0: positions; 1: the documents of a block; 2: sums by document; 3: questions to the unigram table;
+#: 4: successors seen of split contexts; 5: positions of a block that back off from them.
 ROWS = "kind int, shard int, block long, data binary, ids array<long>, train array<boolean>, n array<long>"
 _EMPTY: list = [None, None, None]
 
@@ -157,7 +159,7 @@ def _blocks(shared):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        (shards, _), frequent, _, _ = shared.value
+        (shards, _), frequent, _ = shared.value
         shard_of = _shard_function(shards, frequent[0])
         memo = Memo(token_id)
         block = TaskContext.get().partitionId() << 32
@@ -195,12 +197,18 @@ def _sums(documents: np.ndarray, *values: np.ndarray) -> bytes:
     return np.uint32(len(present)).tobytes() + b"".join(p.tobytes() for p in parts)
 
 
+def _backoff(successors: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """log10 of what a context seen ``whole`` times leaves to the unigram; 0 for one never seen."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(whole > 0, np.minimum(np.log10(DISCOUNT * np.maximum(successors, 1) / whole), 0.0), 0.0)
+
+
 def _answer(shared):
     """Counts, builds and answers for one shard. Beside the packed rows it holds one sorted array of the training
     pairs; everything else is done row by row."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        (_, parts), (frequent, frequent_n), (total, _), classes = shared.value
+        (_, parts), (frequent, frequent_n), (total, _) = shared.value
         kind = table.column("kind").to_numpy()
         out = [tuple(r.values()) for r in table.filter(pa.array(kind == 1)).to_pylist()]
         sent = table.filter(pa.array(kind == 0))
@@ -214,7 +222,6 @@ def _answer(shared):
         # A context is one group of the trie; a split one is a group for each class of its successors.
         first = np.concatenate([[0], np.cumsum(np.where(split, CLASSES, 1))])
         owner = np.repeat(np.arange(len(contexts)), np.diff(first))
-        of_class = np.arange(first[-1]) - first[owner]
 
         def grouped(row: _Packed) -> tuple[np.ndarray, np.ndarray]:
             """Group and (group, successor) pair of every position."""
@@ -239,11 +246,11 @@ def _answer(shared):
         of_pair = (seen >> np.uint64(BigramTrie.BITS)).astype(np.uint32)
         here = np.bincount(of_pair, count, len(owner))
         whole = np.where(split[owner], frequent_n[at][owner] if len(frequent) else 0, here)
-        mass = np.where(split[owner], classes[of_class], 1.0)
-        # Where a split context was seen, but never with this class, one successor stands for the class.
-        successors = np.maximum(np.bincount(of_pair, minlength=len(owner)), 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            back = np.where(whole > 0, np.minimum(np.log10(DISCOUNT * successors / whole / mass), 0.0), 0.0)
+        successors = np.bincount(of_pair, minlength=len(owner))
+        back = np.where(split[owner], 0.0, _backoff(successors, whole))
+        parted = split[owner] & (successors > 0)
+        if parted.any():
+            out.append((4, 0, None, None, at[owner][parted].tolist(), None, successors[parted].tolist()))
         trie = BigramTrie(np.arange(len(owner), dtype=np.uint32), seen, np.log10((count - DISCOUNT) / whole[of_pair]), back)
         del seen, count, of_pair
 
@@ -256,6 +263,11 @@ def _answer(shared):
             log, found = trie.log_probability(mine)
             log = np.where(found, log, trie.backoff(group))
             wanted = np.flatnonzero(~found)
+            left = wanted[split[owner[group[wanted]]]]
+            if len(left):
+                place, times = np.unique(at[owner[group[left]]] << 8 | row.document[left], return_counts=True)
+                data = np.stack([place, times]).astype(np.int64).tobytes()
+                out.append((5, 0, row.block, data, *_EMPTY))
             successor = row.successors()[wanted]
             if len(known_word):
                 place = np.minimum(np.searchsorted(known_word, successor), len(known_word) - 1)
@@ -299,7 +311,7 @@ def _unigrams(shared):
     """Log probabilities for the positions that backed off; tokens without a count are unknown."""
 
     def run(key: tuple[pa.Scalar, ...], questions: pa.Table, table: pa.Table) -> pa.Table:
-        _, _, (total, distinct), _ = shared.value
+        _, _, (total, distinct) = shared.value
         words = table.column("word").to_numpy().astype(np.uint64)
         order = np.argsort(words)
         words, n = words[order], table.column("n").to_numpy()[order]
@@ -336,29 +348,37 @@ def _unigrams(shared):
     return run
 
 
-def _add_up(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Documents of one block with the sums of all shards."""
-    sums = np.zeros((3, 256))
-    ids, train, n = [], [], []
-    for row in table.to_pylist():
-        if row["kind"] == 1:
-            ids, train, n = row["ids"], row["train"], row["n"]
-            continue
-        data = row["data"]
-        size = int(np.frombuffer(data, np.uint32, 1)[0])
-        present = np.frombuffer(data, np.uint8, size, 4)
-        sums[:, present] += np.frombuffer(data[4 + size :], np.float64).reshape(3, size)
-    k = len(ids)
-    return pa.table(
-        {
-            "doc_id": pa.array(ids, pa.int64()),
-            "train": pa.array(train, pa.bool_()),
-            "n_tokens": pa.array(n, pa.int64()),
-            "known_words": pa.array(sums[0, :k].round().astype(np.int64)),
-            "base_sum": pa.array(sums[1, :k]),
-            "score": pa.array(sums[2, :k]),
-        }
-    )
+def _add_up(backoffs):
+    """Documents of one block with the sums of all shards; ``backoffs``: of the split contexts."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        sums = np.zeros((3, 256))
+        ids, train, n = [], [], []
+        for row in table.to_pylist():
+            if row["kind"] == 1:
+                ids, train, n = row["ids"], row["train"], row["n"]
+                continue
+            data = row["data"]
+            if row["kind"] == 5:
+                place, times = np.frombuffer(data, np.int64).reshape(2, -1)
+                sums[2] += np.bincount(place & 255, times * backoffs.value[place >> 8], 256)
+                continue
+            size = int(np.frombuffer(data, np.uint32, 1)[0])
+            present = np.frombuffer(data, np.uint8, size, 4)
+            sums[:, present] += np.frombuffer(data[4 + size :], np.float64).reshape(3, size)
+        k = len(ids)
+        return pa.table(
+            {
+                "doc_id": pa.array(ids, pa.int64()),
+                "train": pa.array(train, pa.bool_()),
+                "n_tokens": pa.array(n, pa.int64()),
+                "known_words": pa.array(sums[0, :k].round().astype(np.int64)),
+                "base_sum": pa.array(sums[1, :k]),
+                "score": pa.array(sums[2, :k]),
+            }
+        )
+
+    return run
 
 
 def score_texts(
@@ -384,10 +404,6 @@ def score_texts(
     texts = int(table.where(F.col("id") == np.uint64(END).astype(np.int64).item()).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     letters = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-max(int(total), letters // 6) // shard_tokens))
-    classes = np.full(CLASSES, 1.0 / CLASSES)
-    if total:
-        for row in table.groupBy((word % CLASSES).alias("class")).agg(F.sum("n").alias("n")).collect():
-            classes[row["class"]] = row["n"] / total
     # At most 4 a shard, as their counts add up to no more than the total.
     frequent = {START: texts, END: texts} if texts else {}
     for row in table.where(F.col("n") > F.lit(max(1, int(total) // (4 * shards)))).collect():
@@ -396,17 +412,23 @@ def score_texts(
     counts = np.array([frequent[int(i)] for i in ids], np.int64)
     # Parts of the unigram table: their words and questions are a task's load.
     parts = max(1, -(-max(int(distinct), shards * shard_tokens // 8) // shard_tokens))
-    shared = spark.sparkContext.broadcast(((shards, parts), (ids, counts), (int(total), int(distinct)), classes))
+    shared = spark.sparkContext.broadcast(((shards, parts), (ids, counts), (int(total), int(distinct))))
 
     sent = rows.mapInArrow(_blocks(shared), ROWS)
     answered = stage(sent.groupBy("shard").applyInArrow(_answer(shared), ROWS), "answers")
+    # One number a split context.
+    successors = np.zeros(len(ids), np.int64)
+    reported = answered.where("kind = 4").select(F.inline(F.arrays_zip("ids", "n")))
+    for place, n in reported.groupBy("ids").agg(F.sum("n")).collect():
+        successors[place] = n
+    backoffs = spark.sparkContext.broadcast(quantise(_backoff(successors, counts)) / -STEP)
     spread = F.pmod(F.col("word"), F.lit(parts)).cast("int")
     unigrams = table.select(word.alias("word"), "n").withColumn("spread", spread)
     questions = answered.where("kind = 3").withColumn("spread", F.col("shard"))
     backed = questions.groupBy("spread").cogroup(unigrams.groupBy("spread")).applyInArrow(_unigrams(shared), ROWS)
-    sums = answered.where("kind < 3").unionByName(backed)
+    sums = answered.where("kind < 3 or kind = 5").unionByName(backed)
     schema = "doc_id long, train boolean, n_tokens long, known_words long, base_sum double, score double"
-    scored = sums.groupBy("block").applyInArrow(_add_up, schema)
+    scored = sums.groupBy("block").applyInArrow(_add_up(backoffs), schema)
     return scored.select(
         "doc_id",
         "train",

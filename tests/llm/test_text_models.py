@@ -291,6 +291,17 @@ def test_lm_against_brute_force(spark, sf_dir, shard_tokens):
     assert gain > 0
 
 
+@pytest.mark.parametrize("shard_tokens", [4_000_000, 10_000])
+def test_lm_scores_do_not_depend_on_shards(spark, sf_dir, shard_tokens):
+    docs = table(spark, sf_dir, "documents")
+    train = crc_bucket("doc_id", 7) != 2
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    want = brute_scores(rows, [r.doc_id for r in docs.where(train).select("doc_id").collect()])
+    for r in ngram_lm.score_texts(docs, train, shard_tokens=shard_tokens).collect():
+        # Quantised to half a step.
+        assert abs(r.score - want[r.doc_id][4]) <= 0.51 / 4096 * r.n_tokens + 1e-6
+
+
 def test_lm_of_messy_rows(spark, messy, no_docs):
     got = ngram_lm.score_texts(messy, F.col("doc_id") != 7).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in MESSY)
