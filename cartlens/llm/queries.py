@@ -12,6 +12,7 @@ from cartlens.llm import (
     chat_format,
     decontamination,
     language_id,
+    merkle,
     ngram_lm,
     quality_rules,
     sentencepiece_codec,
@@ -20,7 +21,7 @@ from cartlens.llm import (
     toxicity,
     url_filters,
 )
-from cartlens.llm.common import crc_bucket, table
+from cartlens.llm.common import ascii_lower, crc_bucket, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -230,3 +231,95 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+#: Levels of trees and of the top tree that the SQL writes out: eight to that power are leaves of a group, and groups.
+MERKLE_LEVELS, MERKLE_TOP = 7, 4
+
+
+def _merkle_tree_sql(name: str, key: str, levels: int) -> tuple[list[str], str]:
+    """Tables name0 .. (key, i, d, n: nodes of the level) upwards from name0, and a query for the root of every key."""
+    steps = [
+        f"""{name}{k + 1} AS (SELECT {key}, i // 8 AS i, sha256(string_agg(d, '' ORDER BY i)) AS d,
+    string_agg(d, '' ORDER BY i) AS run, (n + 7) // 8 AS n FROM {name}{k} WHERE n > 1 GROUP BY {key}, i // 8, n)"""
+        for k in range(levels)
+    ]
+    roots = " UNION ALL ".join(f"SELECT {key}, d FROM {name}{k} WHERE n = 1" for k in range(levels + 1))
+    return steps, roots
+
+
+def _merkle_fold_sql(source: str, tree: str, key: str, levels: int, at: str) -> list[str]:
+    """Tables source1 .. : ``folded`` and ``siblings`` of every row of source0 carried one level up each."""
+    steps = []
+    for k in range(levels):
+        place = f"64 * (s.{at} // {8**k} % 8)"
+        steps.append(
+            f"""{source}{k + 1} AS (SELECT s.* REPLACE (
+    CASE WHEN run IS NULL THEN folded ELSE sha256(left(run, {place}) || folded || substr(run, {place} + 65)) END AS folded,
+    CASE WHEN run IS NULL THEN siblings ELSE siblings || left(run, {place}) || substr(run, {place} + 65) END AS siblings)
+  FROM {source}{k} s LEFT JOIN {tree}{k + 1} t ON t.i = s.{at} // {8 ** (k + 1)} AND {key})"""
+        )
+    return steps
+
+
+def _merkle_sql() -> str:
+    def field(value: str) -> str:
+        return f"coalesce(octet_length(encode({value}))::VARCHAR || ':' || {value}, '-')"
+
+    def leaf(text: str) -> str:
+        names = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+        return f"sha256({' || '.join(map(field, names))})"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    tree, roots = _merkle_tree_sql("t", "lang", MERKLE_LEVELS)
+    top, top_root = _merkle_tree_sql("g", "one", MERKLE_TOP)
+    steps = [
+        # crc32 by its table: 256 entries made by the shift rule.
+        """crc AS (SELECT list(list_reduce(list_prepend(b, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY b) AS entries
+  FROM range(256) AS bytes(b))""",
+        """sums AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''),
+    lambda x: ascii(x)::BIGINT)), lambda c, b: xor(entries[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS crc
+  FROM documents, crc)""",
+        f"""leaves AS (SELECT doc_id, lang, {leaf("text")} AS leaf,
+    CASE WHEN crc % 3 = 0 THEN {leaf(lower)} ELSE {leaf("text")} END AS seen FROM sums)""",
+        """numbered AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS LAST, leaf) - 1 AS i,
+    count(*) OVER (PARTITION BY lang) AS n FROM leaves)""",
+        "t0 AS (SELECT lang, i, leaf AS d, n FROM numbered)",
+        *tree,
+        f"roots AS ({roots})",
+        """g0 AS (SELECT 1 AS one, lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, d,
+    count(*) OVER () AS n FROM roots)""",
+        *top,
+        f"root AS ({top_root})",
+        """a0 AS (SELECT s.doc_id, s.lang, s.i, s.leaf, g0.d AS subroot, g0.i AS g, seen AS folded, '' AS siblings
+  FROM numbered s JOIN g0 ON s.lang IS NOT DISTINCT FROM g0.lang)""",
+        *_merkle_fold_sql("a", "t", "t.lang IS NOT DISTINCT FROM s.lang", MERKLE_LEVELS, "i"),
+        f"b0 AS (SELECT * FROM a{MERKLE_LEVELS})",
+        *_merkle_fold_sql("b", "g", "true", MERKLE_TOP, "g"),
+    ]
+    return "WITH " + ", ".join(steps) + f"""
+SELECT doc_id, leaf, subroot, root.d AS root, sha256(siblings) AS proof_sha256, folded AS folded_root,
+  folded = root.d AS verified FROM b{MERKLE_TOP}, root"""
+
+
+@query("op13_merkle_manifest", _merkle_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = merkle.leaf_digest([ascii_lower(F.col(c)) if c == "text" else F.col(c) for c in columns])
+    manifest = merkle.build_manifest(
+        table(spark, sf_dir, "documents"),
+        columns=columns,
+        keep={"doc_id": F.col("doc_id"), "tampered": F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, tampered)},
+    )
+    folded = merkle.fold(F.coalesce("tampered", "digest"), F.col("path"))
+    proven = manifest.proofs().withColumn("folded_root", folded)
+    return proven.select(
+        "doc_id",
+        F.col("digest").alias("leaf"),
+        "subroot",
+        "root",
+        F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
