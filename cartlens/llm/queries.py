@@ -13,6 +13,7 @@ from cartlens.llm import (
     decontamination,
     hard_negatives,
     language_id,
+    licenses,
     merkle,
     ngram_lm,
     quality_rules,
@@ -234,6 +235,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op11_license_scans")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents")).withColumn("base", licenses.phrase_places())
+    starts = F.transform("base", lambda m: m["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        licenses.labels_of("base").alias("base_labels"),
+        licenses.labels_of("matches").alias("labels"),
+        "score",
+    )
+
+
 NEGATIVES_SQL = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
