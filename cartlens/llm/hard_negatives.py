@@ -337,7 +337,8 @@ def mine_negatives(
 
     Rows without id, label or vector, or with a component that is null or not finite, take no part. Equal rows count
     once; an id may have several different rows, which then are not each other's positives. A vector shorter than
-    others counts as filled up with zeros. Components are taken up to 2**63 / ``scale``. An empty table gives no rows.
+    others counts as filled up with zeros. Scores and ``scale`` times components must fit 64 bits. An empty table gives
+    no rows.
     Only the three columns and ``anchors`` are read, so names of other columns do not matter.
     """
     spark = rows.sparkSession
