@@ -10,7 +10,9 @@ the clauses that match, per channel, through a logistic function.
 The closed classes are fixed word lists. Insult and threat entries come from a short seed list and from labelled
 texts: words and stems (prefixes) are weighed by the lower confidence bound of their log odds, and chosen by
 sequential covering, so that the words of one much-copied toxic text do not become entries. Labelled texts are
-sampled, at most ``sample_rows`` distinct ones a class; everything else reads all rows.
+sampled, at most ``sample_rows`` distinct ones a class; everything else reads all rows. The weights minimise a strictly
+convex loss by Newton steps that are halved until the loss falls, and are not below zero; a text without any match is
+never marked as toxic.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,8 +35,10 @@ from cartlens.staging import stage
 
 #: Distinct labelled texts a class that the model is fitted on.
 SAMPLE_ROWS = 6000
-#: Candidate entries that are compared in the covering step.
-MAX_CANDIDATES = 20_000
+#: Pull of a weight towards its prior, in units of the loss.
+RIDGE = 1.0
+#: What a text without a match scores at most: no clause, no verdict.
+MOST_WITHOUT_MATCH = 0.45
 STEM_LENGTHS = range(4, 10)
 
 # Closed classes and seed entries (fixed values).
@@ -168,8 +172,7 @@ class Scorer:
             best, strongest = clause, words
         out[:16] = np.minimum(out[:16], 40.0)
         out[16] = min(best, 10.0)
-        out[17] = 100.0 * out[:16].sum() / len(tokens) if len(tokens) > 20 else 5.0 * out[:16].sum() / 20
-        out[17] = min(out[17], 20.0)
+        out[17] = min(100.0 * out[:16].sum() / max(20, len(tokens)), 20.0)
         return out, strongest
 
 
@@ -198,10 +201,10 @@ def default_model() -> ToxicityModel:
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, label: str, sample_rows: int
 ) -> tuple[DataFrame, dict[int, int]]:
-    """Distinct labelled texts (text, label), ``sample_rows`` a class or little more, and the rows a class.
+    """Distinct labelled texts (text, h, y), at most ``sample_rows`` a class, and the rows a class.
 
-    Copies count once: rows are reduced to text hashes before the sample is drawn by hash. The chosen rows are
-    about twice ``sample_rows`` ids, whatever the input, and are broadcast.
+    Copies count once: rows are reduced to text hashes before the sample is drawn by hash, and each chosen hash keeps
+    one text. A tenth more than ``sample_rows`` a class is drawn and cut to the first ones, which are broadcast.
     """
     marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(
         F.max((F.col(label) == 1).cast("int")).alias("y")
@@ -212,11 +215,18 @@ def labelled_sample(
     grain = 1 << 20
     share = F.lit(0)
     for y, (texts, _) in sizes.items():
-        share = F.when(F.col("y") == y, F.lit(min(grain, math.ceil(grain * sample_rows / texts)))).otherwise(share)
-    chosen = first.where(F.pmod(F.xxhash64("h"), F.lit(grain)) < share).select("id", "h", "y")
+        share = F.when(F.col("y") == y, F.lit(min(grain, math.ceil(1.1 * grain * sample_rows / texts)))).otherwise(share)
+    order = Window.partitionBy("y").orderBy("draw", "h")
+    chosen = (
+        first.withColumn("draw", F.xxhash64("h"))
+        .where(F.pmod("draw", F.lit(grain)) < share)
+        .withColumn("place", F.row_number().over(order))
+        .where(F.col("place") <= sample_rows)
+        .select("id", "h", "y")
+    )
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    sample = stage(rows.join(F.broadcast(chosen), ["id", "h"]).select("text", "y"), "sample")
-    return sample, {y: n for y, (_, n) in sizes.items()}
+    found = rows.join(F.broadcast(chosen), ["id", "h"]).groupBy("h", "y").agg(F.min("text").alias("text"))
+    return stage(found, "sample"), {y: n for y, (_, n) in sizes.items()}
 
 
 def entries_of(text: str | None) -> set[str]:
@@ -231,18 +241,29 @@ def entries_of(text: str | None) -> set[str]:
 
 
 def _count_entries(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """entry, toxic and other texts that hold it, and the toxic ones' hashes combined."""
     counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    sets: dict[str, int] = {}
 
     def flush():
         entries = list(counts[0].keys() | counts[1].keys())
-        yes, no = [counts[1][e] for e in entries], [counts[0][e] for e in entries]
-        yield pa.RecordBatch.from_arrays([pa.array(entries, pa.string()), pa.array(yes, pa.int64()), pa.array(no, pa.int64())], names=["entry", "yes", "no"])
-        counts[0].clear()
-        counts[1].clear()
+        columns = [
+            pa.array(entries, pa.string()),
+            pa.array([counts[1][e] for e in entries], pa.int64()),
+            pa.array([counts[0][e] for e in entries], pa.int64()),
+            pa.array([sets.get(e, 0) for e in entries], pa.int64()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["entry", "yes", "no", "texts"])
+        for held in (counts[0], counts[1], sets):
+            held.clear()
 
     for batch in batches(source):
-        for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            counts[1 if y == 1 else 0].update(entries_of(text))
+        for text, y, h in zip(*(batch.column(c).to_pylist() for c in ("text", "y", "h")), strict=True):
+            entries = entries_of(text)
+            counts[1 if y == 1 else 0].update(entries)
+            if y == 1:
+                for entry in entries:
+                    sets[entry] = sets.get(entry, 0) ^ h
         if len(counts[0]) + len(counts[1]) > 300_000:
             yield from flush()
     yield from flush()
@@ -278,21 +299,48 @@ def cover(found: list[list[str]], weights: dict[str, float], least: int) -> dict
     return chosen
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression towards the prior, by Newton steps."""
-    design = np.hstack([x, np.ones((len(x), 1))])
-    centre = np.append(PRIOR, PRIOR_BIAS)
-    ridge = np.append(np.full(x.shape[1], 5.0), 0.01)
-    w = centre.copy()
-    for _ in range(30):
-        p = 1.0 / (1.0 + np.exp(-np.clip(design @ w, -30, 30)))
+def _minimum(design: np.ndarray, y: np.ndarray, centre: np.ndarray, ridge: np.ndarray) -> np.ndarray:
+    """Where the ridge logistic loss is least. The loss is strictly convex, so steps that are halved until it falls
+    reach it from anywhere; the end is a gradient that is nought."""
+
+    def loss(w):
+        z = design @ w
+        return float((np.logaddexp(0.0, z) - y * z).sum() + 0.5 * (ridge * (w - centre) ** 2).sum())
+
+    w, now = centre.copy(), loss(centre)
+    enough = 1e-7 * max(1, len(y))
+    for _ in range(200):
+        p = 0.5 * (1.0 + np.tanh(0.5 * (design @ w)))
         gradient = design.T @ (p - y) + ridge * (w - centre)
+        if np.abs(gradient).max() <= enough:
+            return w
         hessian = (design * (p * (1 - p))[:, None]).T @ design + np.diag(ridge)
-        step = np.linalg.solve(hessian, gradient)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+        step, size = np.linalg.solve(hessian, gradient), 1.0
+        while size > 1e-12 and (after := loss(w - size * step)) > now - 1e-4 * size * float(gradient @ step):
+            size /= 2
+        if size <= 1e-12:  # no step is felt any more: the rounding of the loss is reached
+            if np.abs(gradient).max() <= 1e3 * enough:
+                return w
             break
-    return np.maximum(w[:-1], 0.0), float(w[-1])
+        w, now = w - size * step, after
+    raise ArithmeticError("the toxicity fit did not converge")
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression towards the prior, without negative weights: a feature whose weight would be negative
+    is left out and the others are fitted again."""
+    design = np.hstack([x, np.ones((len(x), 1))])
+    centre = np.append(PRIOR, PRIOR_BIAS)
+    ridge = np.append(np.full(x.shape[1], RIDGE), 0.1)
+    used = np.ones(len(centre), bool)
+    while True:
+        w = np.zeros(len(centre))
+        w[used] = _minimum(design[:, used], y, centre[used], ridge[used])
+        negative = w < 0
+        negative[-1] = False
+        if not negative.any():
+            return w[:-1], float(w[-1])
+        used &= ~negative
 
 
 def fit_toxicity(
@@ -306,7 +354,9 @@ def fit_toxicity(
 ) -> ToxicityModel:
     """Lexicon and weights from labelled documents (1 is toxic). Without both classes the seed model is returned.
 
-    Null texts and labels teach nothing; a document with several labels counts as toxic if one is 1.
+    Null texts and labels teach nothing; a document with several labels counts as toxic if one is 1; repeated texts
+    count once. Of entries in the very same toxic texts only the one that covering would choose is compared, so the
+    driver holds no more entries than the bounded sample has different sets of texts.
     """
     spark = prepare(docs.sparkSession)
     sample, sizes = labelled_sample(docs, labels, doc_id=doc_id, text=text, label=label, sample_rows=sample_rows)
@@ -315,16 +365,18 @@ def fit_toxicity(
     if not n_yes or not n_no:
         return default_model()
     least = max(3, n_yes // 400)
-    counts = sample.mapInArrow(_count_entries, "entry string, yes long, no long").groupBy("entry").agg(
-        F.sum("yes").alias("yes"), F.sum("no").alias("no")
+    counts = sample.mapInArrow(_count_entries, "entry string, yes long, no long, texts long").groupBy("entry").agg(
+        F.sum("yes").alias("yes"), F.sum("no").alias("no"), F.bit_xor("texts").alias("texts")
     )
     bound = log_odds_bound(F.col("yes"), F.col("no"), n_yes, n_no)
+    first = F.struct(F.least(F.col("weight"), F.lit(4.0)), F.length("entry"), "entry", "weight")
     strong = (
         counts.where(F.col("yes") >= least)
-        .select("entry", bound.alias("weight"))
+        .withColumn("weight", bound)
         .where(F.col("weight") > 1.5)
-        .orderBy(F.desc("weight"), "entry")
-        .limit(MAX_CANDIDATES)
+        .groupBy("yes", "texts")
+        .agg(F.max(first).alias("e"))
+        .select("e.entry", "e.weight")
         .collect()
     )
     weights = {r["entry"]: float(r["weight"]) for r in strong}
@@ -357,6 +409,7 @@ def fit_toxicity(
     learned, bias = _logistic(x, y)
     all_yes, all_no = sizes.get(1, 1), sum(n for k, n in sizes.items() if k != 1)
     bias += math.log(all_yes / max(1, all_no)) - math.log(n_yes / n_no)  # the sample's classes are not the corpus's
+    bias = min(bias, math.log(MOST_WITHOUT_MATCH / (1 - MOST_WITHOUT_MATCH)))
     return ToxicityModel(lexicon, learned, bias)
 
 
