@@ -80,11 +80,13 @@ def _patterns(words: list[str]) -> Iterator[tuple[str, ...]]:
 class Searcher:
     """Occurrences of one part of the benchmark in a text."""
 
-    def __init__(self, items: Iterable[tuple[str, str]]) -> None:
+    def __init__(self, items: Iterable[tuple[str | None, str]]) -> None:
         self.owners: dict[tuple[str, ...], set[str]] = {}
         for item, text in items:
             for pattern in _patterns(words_of(text)):
-                self.owners.setdefault(pattern, set()).add(item)
+                owners = self.owners.setdefault(pattern, set())
+                if item is not None:
+                    owners.add(item)
         by_length: dict[int, list] = {}
         for pattern in self.owners:
             by_length.setdefault(len(pattern), []).append(pattern)
@@ -129,12 +131,12 @@ def _search_task(shared, text: str, keep: Sequence[str], out: pa.Schema):
     return run
 
 
-def _parts(benchmark: DataFrame, item: str, text: str, part_words: int) -> Iterator[list[tuple[str, str]]]:
+def _parts(benchmark: DataFrame, item: str, text: str, part_words: int) -> Iterator[list[tuple[str | None, str]]]:
     """The benchmark in parts of bounded size, read item by item."""
-    part: list[tuple[str, str]] = []
+    part: list[tuple[str | None, str]] = []
     size = 0
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where(
-        F.col("item").isNotNull() & F.col("text").isNotNull()
+        F.col("text").isNotNull()
     )
     for row in rows.toLocalIterator():
         n = len(words_of(row["text"]))
@@ -158,8 +160,8 @@ def find_benchmark(
 ) -> DataFrame:
     """``keep`` columns, n_words, hit ranges (``starts``, ``ends``: words [start, end)) and items, for every row.
 
-    A null or empty text has no words, ranges or items. An item without words or without an id never occurs;
-    repeated items count once; other columns of both tables are not read. With one part (a benchmark of up to
+    A null or empty text has no words, ranges or items. An item without words never occurs; the words of an item
+    without an id are hit like any others, but it is not among the items; repeated items count once; other columns of both tables are not read. With one part (a benchmark of up to
     ``part_words`` words) nothing is shuffled. With more, a row number made from the partition ties the parts'
     results together, so repeated rows stay apart.
     """
