@@ -10,6 +10,7 @@ running sums and dense ranks take a window keyed by the partition.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,12 +19,15 @@ from pyspark.sql import types as T
 
 from cartlens.functions.aggregates import drop_null_keys
 from cartlens.functions.scalars import as_list
+from cartlens.operators.selection import count_values, order_statistics
 from cartlens.staging import stage
 
 PART = "_range_part"
 LOCAL = "_range_row"
 # monotonically_increasing_id: partition number above, row number below this bit.
 LOCAL_BITS = 33
+# The largest cut that every task sends whole to one merging task.
+MERGED_ROWS = 1_000
 
 Order = Sequence[tuple[str, bool]]  # (column, ascending); missing values always last
 
@@ -164,14 +168,61 @@ def global_rank(
     return ordered_scan(df, order, row=name, repeatable=repeatable)
 
 
-def top_rows(df: DataFrame, order: Order, n: int) -> DataFrame:
-    """The first ``n`` rows of an order: a per-task top-n and one merge."""
-    return df.orderBy(*sort_columns(order)).limit(n)
+def _as_double(df: DataFrame, name: str) -> Column | None:
+    """A double that never turns the order of a column round (it may make neighbours equal), or None."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.NumericType):
+        return F.col(name).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(name).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(name).cast("double")
+    return None
+
+
+def _up_to_cut(df: DataFrame, order: Order, n: int) -> DataFrame:
+    """Without the rows that the first order column alone puts behind the first ``n``."""
+    name, ascending = order[0]
+    key = _as_double(df, name)
+    if key is None:
+        return df
+    keys = df.select(key.alias("key"))
+    counts = count_values(keys)
+    present = sum(counts["key"])
+    if n >= present:
+        return df
+    rank = n - 1 if ascending else present - n
+    cut = F.lit(order_statistics(keys, [("key", rank)], counts)["key", rank])
+    return df.filter(key <= cut if ascending else key >= cut)
 
 
 def numbered_top(df: DataFrame, order: Order, n: int, name: str = "rank") -> DataFrame:
-    """The first ``n`` rows with their ordinal rank, numbered in ranges whatever the size of the cut."""
-    return global_rank(top_rows(df, order, n), order, name)
+    """The first ``n`` rows with their ordinal rank, for any ``n``.
+
+    The value at rank ``n`` is found by selection, the rows behind it are dropped where they are read, and only what
+    is left (the ``n`` rows and the ties of the last value) is ranged and numbered.
+    """
+    if n <= 0:
+        return df.limit(0).withColumn(name, F.lit(0).cast("long"))
+    if n <= MERGED_ROWS:
+        return global_rank(_merged_top(df, order, n), order, name)
+    kept = _up_to_cut(stage(df, "top"), order, n)
+    return global_rank(kept, order, name, repeatable=True).filter(F.col(name) <= n)
+
+
+def _merged_top(df: DataFrame, order: Order, n: int) -> DataFrame:
+    return df.orderBy(*sort_columns(order)).limit(n)
+
+
+def top_rows(df: DataFrame, order: Order, n: int) -> DataFrame:
+    """The first ``n`` rows of an order.
+
+    Up to ``MERGED_ROWS`` every task sends its first ``n`` rows to one merge. More than that would be too much for
+    one task: the cut is then selected, and what it leaves is sorted in ranges.
+    """
+    if n <= MERGED_ROWS:
+        return _merged_top(df, order, max(n, 0))
+    return numbered_top(df, order, n, "_top").orderBy("_top").drop("_top")
 
 
 def surrogate_key(df: DataFrame, order_cols: str | Sequence[str], name: str) -> DataFrame:
@@ -189,10 +240,39 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, as one row (or one row per ``by`` group).
 
-    ``wanted`` maps an output name to (column, probability). Equal values are counted before the sort, so a
-    value or group that holds a large part of all rows is one entry; the running count is distributed.
+    ``wanted`` maps an output name to (column, probability). Over everything the ranks are found by selection:
+    the values are neither sorted nor shuffled. Per group, equal values are counted before the sort, so a value or
+    group that holds a large part of all rows is one entry; the running count is distributed. ``repeatable`` says
+    that ``df`` reads the same every time; otherwise the columns alone are written once.
     """
-    by = list(by)
+    return _grouped_quantiles(df, wanted, list(by), repeatable) if by else _selected_quantiles(df, wanted, repeatable)
+
+
+def _selected_quantiles(
+    df: DataFrame, wanted: Mapping[str, tuple[str, float]], repeatable: bool | None
+) -> DataFrame:
+    columns = list(dict.fromkeys(col for col, _ in wanted.values()))
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    if not repeatable:
+        values = stage(values, "values")
+    counts = count_values(values)
+    at = {name: (col, (sum(counts[col]) - 1) * float(p)) for name, (col, p) in wanted.items() if sum(counts[col])}
+    ranks = [(col, side(place)) for col, place in at.values() for side in (math.floor, math.ceil)]
+    found = order_statistics(values, ranks, counts)
+    row = []
+    for name in wanted:
+        value = None
+        if name in at:
+            col, place = at[name]
+            low, high = found[col, math.floor(place)], found[col, math.ceil(place)]
+            value = low if low == high else low + (high - low) * (place - math.floor(place))
+        row.append(F.lit(value).cast("double").alias(name))
+    return df.sparkSession.range(0, 1, 1, 1).select(*row)
+
+
+def _grouped_quantiles(
+    df: DataFrame, wanted: Mapping[str, tuple[str, float]], by: list[str], repeatable: bool | None
+) -> DataFrame:
     columns = list(dict.fromkeys(col for col, _ in wanted.values()))
     if repeatable is None:
         repeatable = not _floating(df, columns)
@@ -212,7 +292,6 @@ def exact_quantiles(
         within=[*by, "metric"],
         running={"n": "upto"},
         totals={"n": "all_rows"},
-        few_groups=not by,
         repeatable=repeatable,
     )
     picks: list[Column] = []
