@@ -313,6 +313,52 @@ def rolling_avg_rows(spark, sf_dir):
     return rounded(out, ["rolling_avg"])
 
 
+@query(
+    "growth_by_group",
+    f"""WITH {FLAT}, m AS (SELECT customer_state, period, {dbl('sum(price)')} AS price FROM flat GROUP BY 1, 2)
+SELECT *, (price / nullif(lag(price) OVER (PARTITION BY customer_state ORDER BY period), 0) - 1) * 100
+ AS growth_rate FROM m""",
+)
+def growth_by_group(spark, sf_dir):
+    frame = sums(spark, sf_dir, DATE, "customer_state", "price")
+    months = series.compute_monthly_series(frame, DATE, "price", within="customer_state")
+    return series.compute_growth_rate(months, "price", "period", within="customer_state", calendar=True)
+
+
+@query(
+    "growth_rows_by_group",
+    """SELECT event_type, event_id, value, (value / nullif(lag(value, 2) OVER (PARTITION BY event_type
+ ORDER BY event_id), 0) - 1) * 100 AS growth_rate FROM events WHERE event_type IS NOT NULL""",
+)
+def growth_rows_by_group(spark, sf_dir):
+    events = driver.table(spark, sf_dir, "events").select("event_type", "event_id", "value")
+    return series.compute_growth_rate(events, "value", "event_id", periods=2, within="event_type")
+
+
+def wide_sql(over: str, width: int) -> str:
+    return f"""WITH e AS (SELECT event_type, event_id, CAST(value AS DECIMAL(18, 4)) AS value FROM events
+ WHERE event_type IS NOT NULL)
+SELECT event_type, event_id, value, {dbl('sum(value) OVER w')} / count(value) OVER w AS rolling_avg FROM e
+WINDOW w AS ({over} ORDER BY event_id ROWS BETWEEN {width - 1} PRECEDING AND CURRENT ROW)"""
+
+
+def exact_events(spark, sf_dir):
+    """Events of a known type with exact values, so that means are the same in any order of additions."""
+    events = driver.table(spark, sf_dir, "events").filter(F.col("event_type").isNotNull())
+    return events.select("event_type", "event_id", F.col("value").cast("decimal(18,4)").alias("value"))
+
+
+@query("rolling_avg_wide", wide_sql("", 5000))
+def rolling_avg_wide(spark, sf_dir):
+    return series.compute_rolling_avg(exact_events(spark, sf_dir), "value", "event_id", window=5000)
+
+
+@query("rolling_avg_by_group", wide_sql("PARTITION BY event_type", 500))
+def rolling_avg_by_group(spark, sf_dir):
+    events = exact_events(spark, sf_dir)
+    return series.compute_rolling_avg(events, "value", "event_id", window=500, within="event_type")
+
+
 MONTHLY_RANK = f"""WITH {FLAT}, {MONTHLY}
 SELECT period, price, price / (SELECT {dbl('sum(price)')} FROM flat) * 100 AS revenue_contribution_pct,
        row_number() OVER (ORDER BY price DESC, period) AS rank FROM monthly"""

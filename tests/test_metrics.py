@@ -2,6 +2,8 @@
 
 from decimal import Decimal
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -128,6 +130,42 @@ def test_growth_and_rolling(spark, calendar, block_rows):
     assert values(rolled, "rolling_avg", "i") == [None, 1.5, 1.5, 3.0]
 
 
+@pytest.mark.parametrize("block_rows, window", [(7, 3), (1, 40), (64, 1), (50, 50), (1000, 333)])
+def test_sliding_means_per_group_against_pandas(spark, block_rows, window):
+    rng = np.random.default_rng(window)
+    pdf = pd.DataFrame({"i": rng.permutation(400), "g": np.where(rng.random(400) < 0.8, "hot", "cold")})
+    pdf["v"] = np.where(rng.random(400) < 0.1, np.nan, rng.normal(size=400))
+    df = spark.createDataFrame(pdf).withColumn("v", F.nanvl("v", F.lit(None).cast("double")))
+    rolled = series.compute_rolling_avg(df, "v", "i", window=window, min_periods=2, block_rows=block_rows, within="g")
+    want = pdf.sort_values(["g", "i"]).reset_index(drop=True)
+    want["m"] = want.groupby("g")["v"].rolling(window, min_periods=min(2, window)).mean().to_numpy()
+    got = rolled.toPandas().sort_values(["g", "i"])
+    if window == 1:
+        assert got["rolling_avg"].isna().all()
+    else:
+        assert got["rolling_avg"].to_numpy() == pytest.approx(want["m"].to_numpy(), nan_ok=True)
+    grown = series.compute_growth_rate(df, "v", "i", periods=2, block_rows=block_rows, within=["g"])
+    back = want.groupby("g")["v"].shift(2)
+    growth = grown.toPandas().sort_values(["g", "i"])["growth_rate"].to_numpy()
+    assert growth == pytest.approx(((want["v"] / back - 1) * 100).to_numpy(), nan_ok=True)
+
+
+def test_sliding_mean_subtracts_nothing(spark):
+    data = [1e20, 1.0, 2.0, float("inf"), 3.0, 5.0, 1e-20, 7.0]
+    df = spark.createDataFrame(list(enumerate(data)), "i int, v double")
+    rolled = series.compute_rolling_avg(df, "v", "i", window=2, block_rows=3)
+    want = [data[0], *[(a + b) / 2 for a, b in zip(data, data[1:])]]
+    assert values(rolled, "rolling_avg", "i") == want
+
+
+def test_a_wide_sliding_mean_keeps_one_shuffle_by_block(spark):
+    df = spark.range(300).select("id", F.sin("id").alias("v"))
+    plan = series.compute_rolling_avg(df, "v", "id", window=100)._jdf.queryExecution().executedPlan().toString()
+    # The blocks are dealt once, for the forward and the backward sums and the look back.
+    assert plan.count("Exchange hashpartitioning(_block") == 1, plan
+    assert "specifiedwindowframe(RowFrame, -" not in plan.replace(" ", "")
+
+
 # Shares
 
 

@@ -22,6 +22,8 @@ ORDERED = [
     "growth_rate_rows",
     "growth_rate_pad",
     "rolling_avg_rows",
+    "rolling_avg_by_group",
+    "growth_rows_by_group",
     "clean_fill_median",
     "box_summary",
     "delivery_by_group",
