@@ -1,6 +1,6 @@
 """Chat formatting: tool calls and their results, linked, ordered, validated and written as canonical JSON.
 
-Calls and results meet in hash joins on the call identifier. Each side is first reduced to one row per
+Calls and results meet in hash joins on conversation and call identifier. Each side is first reduced to one row per
 identifier, so repeated identifiers never multiply. The order is topological: a call stands behind the call it
 follows (``after``), a result behind its call. Levels come from pointer doubling: every round doubles the
 distance a row has looked back, so a chain of n calls takes log2(n) rounds, and what still points somewhere
@@ -31,6 +31,9 @@ TYPES = {
 }
 
 
+MESSAGE_COLUMNS = ("conv_id", "turn", "role", "text", "kind", "call_id", "name", "arguments", "after")
+
+
 @dataclass(frozen=True)
 class ToolSchema:
     """The arguments of one tool: the type of each property, and which ones must be there."""
@@ -90,33 +93,43 @@ def format_chat(messages: DataFrame, schemas: list[ToolSchema]) -> DataFrame:
     """One row per message: conv_id, turn, role, kind, call_id, level, status, valid, json.
 
     ``messages``: conv_id, turn, role, text, kind (``call``, ``result`` or ``message``), call_id, name,
-    arguments (JSON text), after (call_id of an earlier call). Status of a call: ``linked``, ``unanswered``,
+    arguments (JSON text), after (call_id of an earlier call); other columns are not looked at. Identifiers belong to
+    their conversation: the same one in two conversations is two calls (messages without conv_id are one
+    conversation). Status of a call: ``linked``, ``unanswered``,
     ``repeated`` (its id is used by several calls), ``cyclic`` or ``no_id``; of a result: ``linked``, ``orphan``
     (no such call), ``early`` (it stands before its call), ``repeated`` (not the first result) or ``no_id``;
-    others ``plain``. ``valid`` is false for calls whose arguments are no JSON or break the schema, and null for
+    others ``plain``. Of results at the same turn the one with the smallest hash of its text, role, name and arguments
+    is the first, a missing turn comes last, and an exact copy of the first result counts as it. ``valid`` is false for calls whose arguments are no JSON or break the schema, and null for
     other kinds. Rows are never dropped: repeated rows, null texts (left out of the JSON) and an empty table pass
     through. Levels of results are their call's level; messages outside calls have level 0.
     """
-    calls = messages.filter((F.col("kind") == "call") & F.col("call_id").isNotNull())
+    digest = F.xxhash64("text", "role", "name", "arguments")
+    # Nothing but these columns, so that no other can clash with those added here.
+    rows = messages.select(*MESSAGE_COLUMNS).select(
+        "*",
+        F.when(F.col("call_id").isNotNull(), F.struct("conv_id", "call_id")).alias("id"),
+        F.struct(F.col("turn").isNull().alias("no_turn"), "turn", digest.alias("digest")).alias("place"),
+    )
+    calls = rows.filter((F.col("kind") == "call") & F.col("id").isNotNull())
+    follows = F.when(F.col("after").isNotNull(), F.struct("conv_id", F.col("after").alias("call_id")))
     by_call = stage(
-        calls.groupBy(F.col("call_id").alias("id")).agg(
-            F.min("turn").alias("call_turn"), F.count(F.lit(1)).alias("n_calls"), F.min("after").alias("parent")
-        ),
+        calls.withColumn("follows", follows)
+        .groupBy("id")
+        .agg(F.min("turn").alias("call_turn"), F.count(F.lit(1)).alias("n_calls"), F.min("follows").alias("parent")),
         "calls",
     )
     by_result = (
-        messages.filter((F.col("kind") == "result") & F.col("call_id").isNotNull())
-        .groupBy(F.col("call_id").alias("id"))
-        .agg(F.min("turn").alias("result_turn"), F.count(F.lit(1)).alias("n_results"))
+        rows.filter((F.col("kind") == "result") & F.col("id").isNotNull())
+        .groupBy("id")
+        .agg(F.min("place").alias("result_place"))
     )
     facts = (
         by_call.join(topological_levels(by_call.select("id", "parent")), "id")
         .join(by_result, "id", "left")
-        .select(F.col("id").alias("call_id"), "call_turn", "n_calls", "result_turn", "level")
+        .select("id", "call_turn", "n_calls", "result_place", "level")
     )
-    linked = messages.filter(F.col("call_id").isNotNull()).join(facts, "call_id", "left")
-    others = messages.filter(F.col("call_id").isNull())
-    rows = linked.unionByName(others, allowMissingColumns=True)
+    linked = rows.filter(F.col("id").isNotNull()).join(facts, "id", "left")
+    rows = linked.unionByName(rows.filter(F.col("id").isNull()), allowMissingColumns=True)
 
     is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
     status = (
@@ -124,10 +137,10 @@ def format_chat(messages: DataFrame, schemas: list[ToolSchema]) -> DataFrame:
         .when(F.col("call_id").isNull(), "no_id")
         .when(is_call & (F.col("n_calls") > 1), "repeated")
         .when(is_call & F.col("level").isNull(), "cyclic")
-        .when(is_call & F.col("result_turn").isNull(), "unanswered")
+        .when(is_call & F.col("result_place").isNull(), "unanswered")
         .when(is_result & F.col("call_turn").isNull(), "orphan")
         .when(is_result & (F.col("turn") < F.col("call_turn")), "early")
-        .when(is_result & (F.col("turn") > F.col("result_turn")), "repeated")
+        .when(is_result & (F.col("place") > F.col("result_place")), "repeated")
         .otherwise("linked")
     )
     arguments = F.try_parse_json("arguments")

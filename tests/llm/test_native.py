@@ -5,6 +5,7 @@ import random
 
 import pytest
 from oracle_check import compare, connect
+from pyspark.sql import functions as F
 
 from cartlens.llm import chat_format, quality_rules, url_filters
 from cartlens.llm.queries import ORACLES, QUERIES
@@ -130,6 +131,41 @@ def test_chat_links_orders_and_validates(spark):
     assert json.loads(got[1, 7, None].json)["arguments"] is None
 
 
+def test_identifiers_belong_to_their_conversation(spark):
+    rows = []
+    for conv in (1, 2, None):
+        rows += [
+            (conv, 0, "assistant", None, "call", "call_1", "add", '{"a":1,"b":1}', None),
+            (conv, 1, "tool", f"two {conv}", "result", "call_1", None, None, None),
+            (conv, 2, "assistant", None, "call", "call_2", "add", '{"a":1,"b":1}', "call_1"),
+        ]
+    rows.append((3, 0, "assistant", None, "call", "call_9", "add", '{"a":1,"b":1}', "call_1"))
+    got = chat_format.format_chat(spark.createDataFrame(rows, CHAT), [SCHEMA]).collect()
+    assert len(got) == len(rows)
+    found = {(r.conv_id, r.turn): (r.status, r.level) for r in got}
+    for conv in (1, 2, None):
+        assert [found[conv, t] for t in range(3)] == [("linked", 0), ("linked", 0), ("unanswered", 1)]
+    assert found[3, 0] == ("unanswered", 0)
+
+
+def test_one_result_of_a_turn_is_linked(spark):
+    long_text = "word " * 300_000
+    rows = [(1, 0, "assistant", None, "call", "x", "add", '{"a":1,"b":1}', None)]
+    rows += [(1, 1, "tool", t, "result", "x", None, None, None) for t in ("a", "b", long_text, None)]
+    rows += [(1, None, "tool", "no turn", "result", "x", None, None, None)]
+    rows += [(2, 0, "assistant", None, "call", "x", "add", '{"a":1,"b":1}', None)]
+    rows += [(2, 1, "tool", "copy", "result", "x", None, None, None)] * 2
+    chat = spark.createDataFrame(rows, CHAT)
+    for name in ("id", "level", "call_turn", "n_calls", "result_place", "place", "parent", "status", "_args"):
+        chat = chat.withColumn(name, F.lit("clash"))
+    got = chat_format.format_chat(chat, [SCHEMA]).collect()
+    one = [r.status for r in got if r.conv_id == 1 and r.kind == "result"]
+    assert sorted(one) == ["linked"] + ["repeated"] * 4
+    assert [r.status for r in got if r.conv_id == 1 and r.turn is None] == ["repeated"]
+    assert [r.status for r in got if r.conv_id == 2] == ["linked"] * 3
+    assert sum(json.loads(r.json).get("text") == long_text for r in got) == 1
+
+
 def test_long_chains_and_empty_chats(spark):
     chain = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(40)]
     levels = chat_format.topological_levels(spark.createDataFrame(chain, "id string, parent string"))
