@@ -11,11 +11,15 @@ builds its trie, and answers all its positions: so counting and scoring cost one
 backs off to the unigram of the next word, which lies elsewhere: these positions alone travel once more, to the
 parts of the unigram table. Shards answer with sums for the documents of a block, which are added up at last.
 
-The number of shards follows the number of tokens, so a shard has a bounded size. Contexts that would fill a
-large part of a shard ("the", the start of a text) are split: they go to shards by context and class of the next
-word (``CLASSES`` classes by hash). Their counts, at most ``4`` a shard, are the only ones that are broadcast. The
-model is the same for them: shards report how many successors they saw and which positions back off, and the
-back-off of the whole context is added with the sums of a document. So scores do not depend on the shards.
+The number of shards follows the number of tokens, so a shard has a bounded size. Tokens with more than a quarter
+of a shard's positions in all texts ("the", the start of a text) are frequent. As contexts they are split: they go to
+shards by context and part of the next word, with as many parts as they have quarters. A pair that alone has more
+than a quarter ("of the", or what junk repeats) is hot. It joins two frequent tokens, so one pass over the texts counts
+these pairs beforehand; its positions go to no shard but are scored in their block. Frequent tokens and hot pairs
+are broadcast: as their positions add up to all positions, there are at most ``4`` of each a shard. (With 10**13 tokens
+and words by Zipf's law these are about a million tokens, 24 MB.) The model is the same for them: shards report how many
+successors they saw and which positions back off, and the back-off of the whole context is added with the sums of a
+document. So scores do not depend on the shards.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +42,8 @@ from cartlens.staging import stage
 
 #: Tokens of a shard; its task holds about 50 bytes of each.
 SHARD_TOKENS = 2_500_000
-#: Classes of the next word over which a frequent context is split.
-CLASSES = 16
+#: Parts of a shard: a token or pair with more positions than a part is frequent or hot.
+PARTS = 4
 DISCOUNT, UNIGRAM_DISCOUNT = 0.75, 0.5
 _BLOCK = 256
 _HELD = 300_000
@@ -67,21 +72,109 @@ def _relative(ids: np.ndarray) -> np.ndarray:
 
 
 def _count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-
-    def flush() -> pa.RecordBatch:
-        ids = np.fromiter(map(token_id, counts), np.uint64, len(counts)).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(counts.values()), pa.int64())], names=["id", "n"])
+    """Tokens with their number in training texts (n) and in all texts (m)."""
+    taught, others = Counter(), Counter()
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for counts, share in ((taught, 1), (others, 0)):
+            ids = np.fromiter(map(token_id, counts), np.uint64, len(counts)).view(np.int64)
+            m = np.fromiter(counts.values(), np.int64, len(counts))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(m * share), pa.array(m)], names=["id", "n", "m"])
+            counts.clear()
 
     end = np.array([END], np.uint64).view(np.int64)
     for batch in batches(source):
-        for text in batch.column("text").to_pylist():
-            counts.update(words_of(text))
-        yield pa.RecordBatch.from_arrays([pa.array(end), pa.array([batch.num_rows], pa.int64())], names=["id", "n"])
-        if len(counts) > _HELD:
-            yield flush()
+        train = batch.column("train").to_pylist()
+        for text, teaches in zip(batch.column("text").to_pylist(), train, strict=True):
+            (taught if teaches else others).update(words_of(text))
+        ends = [pa.array(end), pa.array([sum(train)], pa.int64()), pa.array([len(train)], pa.int64())]
+        yield pa.RecordBatch.from_arrays(ends, names=["id", "n", "m"])
+        if len(taught) + len(others) > _HELD:
+            yield from flush()
+    yield from flush()
+
+
+class _Model(NamedTuple):
+    """What every task knows: sizes, the frequent tokens (ids ascending) and the hot pairs (keys ascending)."""
+
+    shards: int
+    spread: int  # parts of the unigram table
+    total: int
+    distinct: int
+    ids: np.ndarray
+    counts: np.ndarray  # in training texts
+    parts: np.ndarray  # over which a context is split
+    hot: np.ndarray  # context place * number of frequent tokens + successor place
+    hot_counts: np.ndarray  # in training texts
+
+    def unknown(self) -> float:
+        return math.log10(UNIGRAM_DISCOUNT * self.distinct / self.total) if self.total else 0.0
+
+    def unigram_logs(self) -> np.ndarray:
+        """Of the frequent tokens; those without a count are unknown."""
+        seen = self.counts > 0
+        logs = np.full(len(self.ids), self.unknown())
+        logs[seen] = np.log10((self.counts[seen] - UNIGRAM_DISCOUNT) / max(1, self.total))
+        return logs
+
+
+def _places(sorted_ids: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Place of each id among sorted ones, -1 where it is absent."""
+    if not len(sorted_ids):
+        return np.full(len(ids), -1, np.int64)
+    at = np.minimum(np.searchsorted(sorted_ids, ids), len(sorted_ids) - 1)
+    return np.where(sorted_ids[at] == ids, at, -1)
+
+
+def _successor_order(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent tokens as successors: their relative ids, ascending, and their places. The start is none; of two with
+    one relative id the first stands for both."""
+    places = np.flatnonzero(ids != np.uint64(START))
+    relative, first = np.unique(_relative(ids[places]), return_index=True)
+    return relative, places[first]
+
+
+def _count_pairs(shared):
+    """Pairs of frequent tokens with their number in training texts (n) and in all texts (m)."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = shared.value
+        relative, places = _successor_order(ids)
+
+        def code(word: bytes | int) -> int:
+            """Twice the place as a successor, and one if it is the place as a context too; -1: not frequent."""
+            token = np.uint64(token_id(word) if isinstance(word, bytes) else word)
+            at = int(_places(relative, _relative(np.array([token])))[0])
+            return -1 if at < 0 else 2 * int(places[at]) + int(ids[places[at]] == token)
+
+        memo = Memo(code)
+        start, end = int(_places(ids, np.array([START], np.uint64))[0]), code(END)
+        counts: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            keys = np.fromiter(counts, np.int64, len(counts))
+            m = np.fromiter(counts.values(), np.int64, len(counts))
+            columns = [pa.array(keys >> 1), pa.array(m * (keys & 1)), pa.array(m)]
             counts.clear()
-    yield flush()
+            return pa.RecordBatch.from_arrays(columns, names=["pair", "n", "m"])
+
+        for batch in batches(source):
+            keys = []
+            for text, teaches in zip(batch.column("text").to_pylist(), batch.column("train").to_pylist(), strict=True):
+                words = words_of(text)
+                codes = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+                contexts = np.r_[start, np.where(codes & 1, codes >> 1, -1)]
+                contexts[1:][codes < 0] = -1
+                successors = np.r_[codes >> 1, end >> 1]
+                both = (contexts >= 0) & (successors >= 0)
+                keys.append((contexts[both] * len(ids) + successors[both]) * 2 + int(teaches))
+            found, times = np.unique(np.concatenate(keys), return_counts=True)
+            counts.update(dict(zip(found.tolist(), times.tolist(), strict=True)))
+            if len(counts) > _HELD:
+                yield flush()
+        yield flush()
+
+    return run
 
 
 # --- blocks: positions by shard ---------------------------------------------------------------------------------
@@ -133,12 +226,17 @@ class _Packed:
         return _join(self.low, self.high)
 
 
-def _shard_function(shards: int, frequent: np.ndarray):
+def _shard_function(model: _Model):
     def shard_of(context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        place = np.minimum(np.searchsorted(frequent, context), max(0, len(frequent) - 1))
-        part = frequent[place] == context if len(frequent) else np.zeros(len(context), bool)
-        spread = context + part * (successor % np.uint64(CLASSES) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        return ((spread >> np.uint64(17)) % np.uint64(shards)).astype(np.int64)
+        place = _places(model.ids, context)
+        split = place >= 0
+        part = np.zeros(len(context), np.uint64)
+        part[split] = successor[split] % model.parts[place[split]].astype(np.uint64) + np.uint64(1)
+        # Mixed, so that the parts of a context do not fall on neighbouring shards.
+        key = context + part * np.uint64(0x9E3779B97F4A7C15)
+        key = (key ^ (key >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        key = (key ^ (key >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return ((key ^ (key >> np.uint64(31))) % np.uint64(model.shards)).astype(np.int64)
 
     return shard_of
 
@@ -155,12 +253,49 @@ def _row_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
+def _hot_scores(model: _Model):
+    """Takes the hot pairs out of the positions of a block; the rest, and the rows that answer for them."""
+    relative, places = _successor_order(model.ids)
+    unigrams = model.unigram_logs()
+
+    def run(positions: tuple[np.ndarray, ...], block: int) -> tuple[tuple[np.ndarray, ...], list[tuple]]:
+        context, successor, document = positions
+        first = _places(model.ids, context)
+        second = _places(relative, successor)
+        pair = np.where((first >= 0) & (second >= 0), first * len(model.ids) + places[second], -1)
+        at = _places(model.hot, pair)
+        here = at >= 0
+        if not here.any():
+            return positions, []
+        first, second, at, where = first[here], places[second[here]], at[here], document[here]
+        times, whole = model.hot_counts[at], model.counts[first]
+        seen = times > 0
+        log = unigrams[second]
+        log[seen] = quantise(np.log10((times[seen] - DISCOUNT) / whole[seen])) / -STEP
+        is_word = model.ids[first] != np.uint64(START)
+        sums = _sums(where, (whole > 0) & is_word, np.log10(whole + 1.0) * is_word, log)
+        # They pass through a shard like the documents of the block.
+        shard = block % model.shards
+        rows = [(2, shard, block, sums, *_EMPTY)]
+        if not seen.all():
+            rows.append((5, shard, block, _backing_off(first[~seen], where[~seen]), *_EMPTY))
+        return tuple(p[~here] for p in positions), rows
+
+    return run
+
+
+def _backing_off(place: np.ndarray, document: np.ndarray) -> bytes:
+    """Split contexts by place and document, with the number of positions that back off from them."""
+    key, times = np.unique(place.astype(np.int64) << 8 | document, return_counts=True)
+    return np.stack([key, times]).astype(np.int64).tobytes()
+
+
 def _blocks(shared):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        (shards, _), frequent, _ = shared.value
-        shard_of = _shard_function(shards, frequent[0])
+        model = shared.value
+        shard_of, score_hot = _shard_function(model), _hot_scores(model)
         memo = Memo(token_id)
         block = TaskContext.get().partitionId() << 32
         for batch in batches(source):
@@ -177,9 +312,12 @@ def _blocks(shared):
             mask = np.array(train, bool)
             rows = []
             positions = (np.concatenate(contexts), _relative(np.concatenate(successors)), np.concatenate(documents))
+            if len(model.hot):
+                positions, answers = score_hot(positions, block)
+                rows += answers
             for shard, number, data in _pack(shard_of, positions, block):
                 rows.append((0, shard, number, np.packbits(mask).tobytes().ljust(32, b"\0") + data, *_EMPTY))
-            rows.append((1, block % shards, block, None, batch.column("id").to_pylist(), train, sizes))
+            rows.append((1, block % model.shards, block, None, batch.column("id").to_pylist(), train, sizes))
             yield _row_batch(rows)
             block += 1
 
@@ -208,27 +346,22 @@ def _answer(shared):
     pairs; everything else is done row by row."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        (_, parts), (frequent, frequent_n), (total, _) = shared.value
+        model = shared.value
         kind = table.column("kind").to_numpy()
-        out = [tuple(r.values()) for r in table.filter(pa.array(kind == 1)).to_pylist()]
+        out = [tuple(r.values()) for r in table.filter(pa.array(kind != 0)).to_pylist()]
         sent = table.filter(pa.array(kind == 0))
         rows = [_Packed(b.as_py(), d.as_buffer()) for b, d in zip(sent.column("block"), sent.column("data"), strict=True)]
         if not rows:
             return pa.Table.from_batches([_row_batch(out)]) if out else table.slice(0, 0)
 
         contexts = np.unique(np.concatenate([r.contexts for r in rows]))
-        at = np.minimum(np.searchsorted(frequent, contexts), max(0, len(frequent) - 1))
-        split = frequent[at] == contexts if len(frequent) else np.zeros(len(contexts), bool)
-        # A context is one group of the trie; a split one is a group for each class of its successors.
-        first = np.concatenate([[0], np.cumsum(np.where(split, CLASSES, 1))])
-        owner = np.repeat(np.arange(len(contexts)), np.diff(first))
+        at = _places(model.ids, contexts)
+        split = at >= 0
 
         def grouped(row: _Packed) -> tuple[np.ndarray, np.ndarray]:
-            """Group and (group, successor) pair of every position."""
-            successor = row.successors()
+            """Context number and (context number, successor) pair of every position."""
             number = np.repeat(np.searchsorted(contexts, row.contexts), row.sizes)
-            group = first[number] + split[number] * (successor % np.uint64(CLASSES)).astype(np.int64)
-            return group, (group.astype(np.uint64) << np.uint64(BigramTrie.BITS)) | successor
+            return number, (number.astype(np.uint64) << np.uint64(BigramTrie.BITS)) | row.successors()
 
         taught = [r.trained[r.document] for r in rows]
         pairs = np.empty(sum(int(t.sum()) for t in taught), np.uint64)
@@ -244,18 +377,20 @@ def _answer(shared):
         seen = pairs[starts]
         del pairs, starts
         of_pair = (seen >> np.uint64(BigramTrie.BITS)).astype(np.uint32)
-        here = np.bincount(of_pair, count, len(owner))
-        whole = np.where(split[owner], frequent_n[at][owner] if len(frequent) else 0, here)
-        successors = np.bincount(of_pair, minlength=len(owner))
-        back = np.where(split[owner], 0.0, _backoff(successors, whole))
-        parted = split[owner] & (successors > 0)
+        whole = np.bincount(of_pair, count, len(contexts))
+        whole[split] = model.counts[at[split]]
+        successors = np.bincount(of_pair, minlength=len(contexts))
+        back = np.where(split, 0.0, _backoff(successors, whole))
+        parted = split & (successors > 0)
         if parted.any():
-            out.append((4, 0, None, None, at[owner][parted].tolist(), None, successors[parted].tolist()))
-        trie = BigramTrie(np.arange(len(owner), dtype=np.uint32), seen, np.log10((count - DISCOUNT) / whole[of_pair]), back)
+            out.append((4, 0, None, None, at[parted].tolist(), None, successors[parted].tolist()))
+        numbers = np.arange(len(contexts), dtype=np.uint32)
+        trie = BigramTrie(numbers, seen, np.log10((count - DISCOUNT) / whole[of_pair]), back)
         del seen, count, of_pair
 
-        known_word, known_n = _relative_table(frequent, frequent_n)
-        is_word = contexts[owner] != np.uint64(START)
+        relative, places = _successor_order(model.ids)
+        unigrams = model.unigram_logs()
+        is_word = contexts != np.uint64(START)
         known, base = (whole > 0) & is_word, np.log10(whole + 1.0) * is_word
         asked: list[tuple[np.ndarray, np.ndarray]] = []
         for row in rows:
@@ -263,20 +398,17 @@ def _answer(shared):
             log, found = trie.log_probability(mine)
             log = np.where(found, log, trie.backoff(group))
             wanted = np.flatnonzero(~found)
-            left = wanted[split[owner[group[wanted]]]]
+            left = wanted[split[group[wanted]]]
             if len(left):
-                place, times = np.unique(at[owner[group[left]]] << 8 | row.document[left], return_counts=True)
-                data = np.stack([place, times]).astype(np.int64).tobytes()
-                out.append((5, 0, row.block, data, *_EMPTY))
+                out.append((5, 0, row.block, _backing_off(at[group[left]], row.document[left]), *_EMPTY))
             successor = row.successors()[wanted]
-            if len(known_word):
-                place = np.minimum(np.searchsorted(known_word, successor), len(known_word) - 1)
-                common = known_word[place] == successor
-                log[wanted[common]] += np.log10((known_n[place[common]] - UNIGRAM_DISCOUNT) / total)
-                wanted, successor = wanted[~common], successor[~common]
+            place = _places(relative, successor)
+            common = place >= 0
+            log[wanted[common]] += unigrams[places[place[common]]]
+            wanted, successor = wanted[~common], successor[~common]
             out.append((2, 0, row.block, _sums(row.document, known[group], base[group], log), *_EMPTY))
             asked.append((successor, row.document[wanted]))
-        out += [(3, part, None, data, *_EMPTY) for part, data in _questions(rows, asked, parts)]
+        out += [(3, part, None, data, *_EMPTY) for part, data in _questions(rows, asked, model.spread)]
         return pa.Table.from_batches([_row_batch(out)])
 
     return run
@@ -299,23 +431,14 @@ def _questions(rows: list[_Packed], asked: list[tuple[np.ndarray, np.ndarray]],
         yield int(k), b"".join(a.tobytes() for a in (head, mine[first], sizes, low, high, document[at]))
 
 
-def _relative_table(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of frequent tokens by their relative id, sorted; the start is no successor."""
-    words = ids != np.uint64(START)
-    relative = _relative(ids[words])
-    order = np.argsort(relative)
-    return relative[order], n[words][order]
-
-
 def _unigrams(shared):
     """Log probabilities for the positions that backed off; tokens without a count are unknown."""
 
     def run(key: tuple[pa.Scalar, ...], questions: pa.Table, table: pa.Table) -> pa.Table:
-        _, _, (total, distinct) = shared.value
+        total, unknown = shared.value.total, shared.value.unknown()
         words = table.column("word").to_numpy().astype(np.uint64)
         order = np.argsort(words)
         words, n = words[order], table.column("n").to_numpy()[order]
-        unknown = math.log10(UNIGRAM_DISCOUNT * distinct / total) if total else 0.0
         out: list[tuple] = []
         sums: dict[int, np.ndarray] = {}
 
@@ -394,36 +517,42 @@ def score_texts(
     rows = docs.select(
         F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train")
     )
-    table = stage(
-        rows.where("train").select("text").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")),
-        "unigrams",
-    )
+    counted = rows.select("text", "train").mapInArrow(_count, "id long, n long, m long")
+    table = stage(counted.groupBy("id").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "unigrams")
     # The relative id of a token, as in _relative.
     word = F.shiftrightunsigned("id", 64 - BigramTrie.BITS)
-    total, distinct = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.count_if(F.col("n") > 0), F.lit(0))).first()
-    texts = int(table.where(F.col("id") == np.uint64(END).astype(np.int64).item()).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    letters = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(1, -(-max(int(total), letters // 6) // shard_tokens))
-    # At most 4 a shard, as their counts add up to no more than the total.
-    frequent = {START: texts, END: texts} if texts else {}
-    for row in table.where(F.col("n") > F.lit(max(1, int(total) // (4 * shards)))).collect():
-        frequent[row["id"] & (1 << 64) - 1] = row["n"]
+    total, tokens, distinct = (
+        int(v or 0) for v in table.agg(F.sum("n"), F.sum("m"), F.count_if(F.col("n") > 0)).first()
+    )
+    shards = max(1, -(-tokens // shard_tokens))
+    part = max(1, shard_tokens // PARTS)
+    end = np.uint64(END).astype(np.int64).item()
+    frequent = {r["id"] & (1 << 64) - 1: (r["n"], r["m"]) for r in table.where((F.col("m") > part) | (F.col("id") == end)).collect()}
+    texts = frequent[END][0] if frequent else 0
+    if frequent:
+        frequent[START] = frequent[END]
     ids = np.array(sorted(frequent), np.uint64)
-    counts = np.array([frequent[int(i)] for i in ids], np.int64)
+    counts, everywhere = (np.array([frequent[int(i)][k] for i in ids], np.int64) for k in (0, 1))
+    hot = np.zeros((2, 0), np.int64)
+    if tokens > part:
+        paired = rows.select("text", "train").mapInArrow(_count_pairs(spark.sparkContext.broadcast(ids)), "pair long, n long, m long")
+        sums = paired.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where(F.col("m") > part)
+        hot = np.array(sorted((r["pair"], r["n"]) for r in sums.collect()), np.int64).reshape(-1, 2).T
     # Parts of the unigram table: their words and questions are a task's load.
-    parts = max(1, -(-max(int(distinct), shards * shard_tokens // 8) // shard_tokens))
-    shared = spark.sparkContext.broadcast(((shards, parts), (ids, counts), (int(total), int(distinct))))
+    parts = max(1, -(-max(distinct, shards * shard_tokens // 8) // shard_tokens))
+    model = _Model(shards, parts, total, distinct, ids, counts, -(-everywhere // part), hot[0], hot[1])
+    shared = spark.sparkContext.broadcast(model)
 
     sent = rows.mapInArrow(_blocks(shared), ROWS)
     answered = stage(sent.groupBy("shard").applyInArrow(_answer(shared), ROWS), "answers")
-    # One number a split context.
-    successors = np.zeros(len(ids), np.int64)
+    # One number a split context; hot pairs are successors that no shard has seen.
+    successors = np.bincount(hot[0][hot[1] > 0] // max(1, len(ids)), minlength=len(ids))
     reported = answered.where("kind = 4").select(F.inline(F.arrays_zip("ids", "n")))
     for place, n in reported.groupBy("ids").agg(F.sum("n")).collect():
-        successors[place] = n
+        successors[place] += n
     backoffs = spark.sparkContext.broadcast(quantise(_backoff(successors, counts)) / -STEP)
     spread = F.pmod(F.col("word"), F.lit(parts)).cast("int")
-    unigrams = table.select(word.alias("word"), "n").withColumn("spread", spread)
+    unigrams = table.where("n > 0").select(word.alias("word"), "n").withColumn("spread", spread)
     questions = answered.where("kind = 3").withColumn("spread", F.col("shard"))
     backed = questions.groupBy("spread").cogroup(unigrams.groupBy("spread")).applyInArrow(_unigrams(shared), ROWS)
     sums = answered.where("kind < 3 or kind = 5").unionByName(backed)
@@ -434,7 +563,7 @@ def score_texts(
         "train",
         "n_tokens",
         (F.col("known_words") + (1 if texts else 0)).alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base_sum") + math.log10(texts + 1) - F.col("n_tokens") * math.log10(int(total) + int(distinct) + 1)).alias("base_score"),
+        F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base_sum") + math.log10(texts + 1) - F.col("n_tokens") * math.log10(total + distinct + 1)).alias("base_score"),
         F.when(F.lit(total > 0), F.col("score")).otherwise(F.lit(0.0)).alias("score"),
     )
