@@ -150,6 +150,21 @@ def sink_load_again(spark, sf_dir):
     return first.unionByName(mended).select("step", "table", "status", "rows")
 
 
+@query(
+    "sink_replace_failed",
+    """SELECT *, 'failed' AS second_load FROM orders""",
+)
+def sink_replace_failed(spark, sf_dir):
+    # The second load cannot read the order status as a number: the rows of the first one stay.
+    folder = written_csv(spark, sf_dir, ["orders"])
+    broken = T.StructType.fromDDL(driver.PARQUET_SCHEMAS["orders"].replace("o_orderstatus string", "o_orderstatus int"))
+    with database(spark) as name:
+        load(spark, folder, name)
+        report = load(spark, folder, name, schemas={"orders": broken}, guard=False)
+        rows = spark.table(f"{name}.orders").crossJoin(F.broadcast(report.select(F.col("status").alias("second_load"))))
+        return stage(rows, "replaced")
+
+
 @query(
     "fn_table_name",
     """SELECT p_partkey, replace(replace(lower(p_name || '-' || p_brand), '-', '_'), ' ', '_') AS table_name FROM part""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Collection, Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,21 +20,58 @@ def save_table(
     partition_by: Sequence[str] = (),
     bucket_by: tuple[int, Sequence[str]] | None = None,
 ) -> None:
-    """Replace a parquet table. Tables bucketed alike on a join key are joined without a shuffle."""
-    writer = df.write.mode("overwrite").format("parquet")
+    """Replace a parquet table. Tables bucketed alike on a join key are joined without a shuffle.
+
+    The rows are written to a table aside, which takes the name when it is whole, so a job that fails leaves the old
+    table as it was. The change of names is two renames, which move folders. A driver that is lost between them leaves
+    the old table as ``name__replaced``: the next call puts it back before it writes. One lost while it writes leaves a
+    folder ``name__incoming_...`` that no table refers to.
+    """
+    spark = df.sparkSession
+    old, aside = _beside(name, "replaced"), _beside(name, f"incoming_{uuid.uuid4().hex}")
+    if spark.catalog.tableExists(old):
+        back = f"DROP TABLE {old}" if spark.catalog.tableExists(name) else f"ALTER TABLE {old} RENAME TO {name}"
+        spark.sql(back)
+    writer = df.write.format("parquet")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if bucket_by:
         count, keys = bucket_by
         writer = writer.bucketBy(count, *keys).sortBy(*keys)
-    writer.saveAsTable(name)
+    try:
+        writer.saveAsTable(aside)
+    except Exception:
+        _drop_half_written(spark, aside)
+        raise
+    replaces = spark.catalog.tableExists(name)
+    if replaces:
+        spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
+    spark.sql(f"ALTER TABLE {aside} RENAME TO {name}")
+    if replaces:
+        spark.sql(f"DROP TABLE {old}")
+
+
+def _beside(name: str, what: str) -> str:
+    """Name of a helper table in the same database."""
+    database, dot, table = name.rpartition(".")
+    return f"{database}{dot}`{table.strip('`')}__{what}`"
+
+
+def _drop_half_written(spark: SparkSession, name: str) -> None:
+    """Drop a table whose job failed, and the folder that the job may have left."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    database, _, table = name.rpartition(".")
+    location = spark.catalog.getDatabase(database.strip("`") or spark.catalog.currentDatabase()).locationUri
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{location.rstrip('/')}/{table.strip('`')}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored_tables(spark: SparkSession, database: str) -> set[str]:
     """Names of the stored tables of a database. Temporary views do not count."""
     if not spark.catalog.databaseExists(database):
         return set()
-    return {t.name for t in spark.catalog.listTables(database) if not t.isTemporary}
+    names = {t.name for t in spark.catalog.listTables(database) if not t.isTemporary}
+    return {n for n in names if not n.endswith("__replaced") and "__incoming_" not in n}
 
 
 def database_has_data(spark: SparkSession, database: str, wanted: Iterable[str] | None = None) -> bool:

@@ -72,6 +72,32 @@ def test_load_can_stop_at_the_first_error(spark, tmp_path):
     assert [(r["table"], r["status"]) for r in report.collect()] == [("a", "failed")]
 
 
+def test_failed_replace_leaves_the_old_table(spark):
+    import os
+
+    spark.sql("CREATE DATABASE IF NOT EXISTS replace_test")
+    name = "replace_test.`t`"
+    folder = spark.catalog.getDatabase("replace_test").locationUri.removeprefix("file:")
+    tables.save_table(spark.range(5), name, bucket_by=(2, ["id"]))
+    with pytest.raises(Exception, match="broken"):
+        tables.save_table(spark.range(9).filter(F.expr("if(id > 7, raise_error('broken'), true)")), name)
+    assert spark.table(name).count() == 5 and os.listdir(folder) == ["t"]
+    # Other columns and another layout; the table may be read for its own replacement.
+    tables.save_table(spark.table(name).select((F.col("id") + 1).alias("k")), name)
+    assert sorted(r["k"] for r in spark.table(name).collect()) == [1, 2, 3, 4, 5]
+    assert tables.stored_tables(spark, "replace_test") == {"t"} and os.listdir(folder) == ["t"]
+
+
+def test_interrupted_replace_is_put_back(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS swap_test")
+    tables.save_table(spark.range(3), "swap_test.t")
+    spark.sql("ALTER TABLE swap_test.t RENAME TO swap_test.t__replaced")  # as if lost between the renames
+    assert tables.stored_tables(spark, "swap_test") == set()
+    with pytest.raises(Exception, match="broken"):
+        tables.save_table(spark.range(9).filter(F.expr("if(id > 7, raise_error('broken'), true)")), "swap_test.t")
+    assert spark.table("swap_test.t").count() == 3 and tables.stored_tables(spark, "swap_test") == {"t"}
+
+
 def test_load_of_nothing(spark, tmp_path):
     assert tables.load_all_csv(spark, str(tmp_path), "nothing_test").count() == 0
 
