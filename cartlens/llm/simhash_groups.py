@@ -16,11 +16,14 @@ Lists of up to ``DENSE`` texts form all pairs. The texts of a longer list are fi
 shares the most entries; lists of more than ``BLOCK`` texts that are not one component by then get some more hubs. This
 only saves work: all lists that still hold several components form all pairs of texts of different components, in
 blocks. Components are found once from the first links; later links join components, not texts.
+
+Groups that another operator has found (SimHash components) can be given: their links count like those found here, and
+texts they link already are not compared again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -271,10 +274,26 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return moved.unionByName(merged.join(roots, "id", "left_anti").select("id", "root"))
 
 
-def similar_groups(nodes: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """id and root (smallest id) of the ``nodes`` (row, n, keys, bits, narrow) that are linked to others."""
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) whose ends are not linked by ``roots`` (id, root)."""
+    one, two = (roots.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}")) for end in "ab")
+    named = pairs.join(one, "a", "left").join(two, "b", "left")
+    return named.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def similar_groups(
+    nodes: DataFrame, texts: DataFrame, width: int = WIDTH, linked: DataFrame | None = None
+) -> DataFrame:
+    """id and root (smallest id) of the ``nodes`` (row, n, keys, bits, narrow) that are linked to others.
+
+    ``linked`` (id, root: smallest id) are groups of nodes that are linked beforehand.
+    """
     lists, bitmaps = _lists(nodes), nodes.select("row", "n", "bits")
-    roots = stage(connected_components(_verified(_first_pairs(lists), bitmaps, texts, width)), "roots")
+    pairs = _first_pairs(lists)
+    if linked is None:
+        roots = stage(connected_components(_verified(pairs, bitmaps, texts, width)), "roots")
+    else:
+        roots = stage(_joined(linked, _verified(_apart(pairs, linked), bitmaps, texts, width)), "roots")
     long, narrow = lists.where(F.col("m") > DENSE), nodes.select("row", "narrow")
     for turn in range(TURNS + 1):
         open_ = _unsettled(long, roots, narrow)
@@ -289,12 +308,30 @@ def similar_groups(nodes: DataFrame, texts: DataFrame, width: int = WIDTH) -> Da
     return roots
 
 
-def one_of_each_group(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
+def _linked_nodes(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id and root (smallest id) of the ``nodes`` (row) that share a component of ``found`` (row, component_id)."""
+    named = found.join(nodes.select("row"), "row").select("row", "component_id")
+    first = named.groupBy("component_id").agg(F.min("row").alias("root"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return stage(named.join(first, "component_id").select(F.col("row").alias("id"), "root"), "linked")
+
+
+def one_of_each_group(
+    docs: DataFrame,
+    *,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    width: int = WIDTH,
+    also: Callable[..., DataFrame] | None = None,
+) -> DataFrame:
     """``docs`` without the documents that repeat another: of each group the smallest doc_id stays.
 
     A group holds texts with the same words (A-Z lower-cased, blanks aside) and texts whose five-word shingle sets
     have a similarity of 0.8 or more, over any chain of such texts. Null and empty texts are one group; repeated
     rows are copies; null ids come last in the order; all columns are kept, whatever their names.
+
+    ``also`` is an operator whose groups count as well: called with the texts and ``text`` and ``doc_id`` (here the
+    name of a unique row number), it returns that number and a component_id of every row. A chain may have links of
+    both kinds.
     """
     prepare(docs.sparkSession)
     rows = stage(_sketches(docs, text, width), "sketches")
@@ -304,7 +341,8 @@ def one_of_each_group(docs: DataFrame, *, text: str = "text", doc_id: str = "doc
     )
     nodes = rows.select("row", "n", "keys", "bits", "narrow").join(classes.select("row"), "row")
     texts = rows.select("row", F.col(f"doc.{text}").alias("text"))
-    roots = similar_groups(nodes, texts, width).withColumnRenamed("id", "row")
+    linked = _linked_nodes(also(texts, text="text", doc_id="row"), classes) if also else None
+    roots = similar_groups(nodes, texts, width, linked).withColumnRenamed("id", "row")
     kept = (
         classes.join(roots, "row", "left")
         .groupBy(F.coalesce("root", "row").alias("root"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlens.llm import decontamination, quality_rules, sentencepiece_codec, simhash_groups, toxicity
+from cartlens.llm import decontamination, quality_rules, sentencepiece_codec, simhash, simhash_groups, toxicity
 from cartlens.llm.common import table
 from cartlens.staging import stage
 
@@ -35,8 +35,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies (five-word shingles, similarity 0.8 or more)."""
-    return simhash_groups.one_of_each_group(docs)
+    """One document of each group of exact and near copies.
+
+    Groups are those of the SimHash operator (fingerprints that differ in at most two bits), and an exact check over
+    whole texts adds what fingerprints miss (five-word shingles, similarity 0.8 or more).
+    """
+    return simhash_groups.one_of_each_group(docs, also=simhash.near_duplicates)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -223,6 +223,34 @@ def test_one_of_each_group_of_messy_rows(spark, messy, no_docs):
     assert simhash_groups.one_of_each_group(no_docs).count() == 0
 
 
+def test_pipeline_links_by_fingerprint_and_by_similarity(spark):
+    """The stage drops what the SimHash operator links, also where the sets of shingles are far apart, and near copies
+    that fingerprints miss; a chain may have links of both kinds."""
+    rng = random.Random(4)
+    texts = family_texts()
+    for k in range(8):
+        passage = " ".join(f"r{k}x{i}" for i in range(12))
+        texts += [" ".join([passage] * 60 + [f"t{k}x{j}x{i}" for i in range(20)]) for j in range(3)]
+        base = texts[-1].split()
+        texts.append(" ".join(base[:-1] + [f"u{k}"]))
+        texts.append(altered(rng, [f"v{k}x{i}" for i in range(60)], 0))
+    texts += ["", None, "two"]
+    sets = [shingles(t) for t in texts]
+    prints = [brute_fingerprint(t) for t in texts]
+    by_print, by_sets = set(), set()
+    for a, b in combinations(range(len(texts)), 2):
+        if (prints[a] ^ prints[b]).bit_count() <= 2:
+            by_print.add((a, b))
+        if lower(texts[a]).split() == lower(texts[b]).split() or (sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])):
+            by_sets.add((a, b))
+    assert by_print - by_sets and by_sets - by_print
+    want = sorted(set(components(range(len(texts)), by_print | by_sets).values()))
+    assert len(want) < len(set(components(range(len(texts)), by_sets).values()))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == want
+
+
 # --- decontamination -------------------------------------------------------------------------------------------------
 
 
