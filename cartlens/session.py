@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 # Runtime settings only, so they can be applied to a session somebody else built.
@@ -13,12 +15,29 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
+#: Bytes a shuffle task reads at most, where there are partitions enough: a task that joins and counts distinct values
+#: holds about ten times that in memory.
+TASK_BYTES = 16 << 20
+ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+#: A join whose smaller side has no partition above this is hashed: neither side is sorted.
+HASHED = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+_UNITS = {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+
+
+def _bytes(size: str) -> int:
+    """A size as Spark writes it (``64MB``, ``8m``, ``1024b``)."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([kmgt]?)i?b?\s*", size.lower()).groups()
+    return int(number) * _UNITS[unit]
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to an existing session and return it."""
+    """Apply the runtime settings to an existing session and return it. Smaller tasks than ours stay as they are set."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    if _bytes(spark.conf.get(ADVISORY)) > TASK_BYTES:
+        spark.conf.set(ADVISORY, str(TASK_BYTES))
+    if _bytes(spark.conf.get(HASHED)) < TASK_BYTES:
+        spark.conf.set(HASHED, str(TASK_BYTES))
     return spark
 
 

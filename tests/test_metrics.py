@@ -397,3 +397,21 @@ def test_nan_counts_as_missing(spark):
     assert (row["mean"], row["median"]) == (1.5, 1.5)
     assert charts.top_n_by(df, "v", 1).first()["k"] == "b"
     assert charts.box_summary(df, "v").count() == 1
+
+
+def test_tasks_of_distinct_counts_are_bounded(spark):
+    """A shuffle task reads few bytes and joins without sorting, whatever the session has; smaller tasks stay."""
+    from cartlens.session import ADVISORY, HASHED, TASK_BYTES, tune
+
+    keys = [ADVISORY, HASHED]
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        spark.conf.set(ADVISORY, "64MB")
+        spark.conf.set(HASHED, "0b")
+        tune(spark)
+        assert [spark.conf.get(k) for k in keys] == [str(TASK_BYTES)] * 2
+        spark.conf.set(ADVISORY, "8m")
+        assert tune(spark).conf.get(ADVISORY) == "8m"
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
