@@ -3,7 +3,7 @@
 A language is a distribution over the pieces of a fixed public vocabulary. The probability of a text is the sum
 over all its segmentations into pieces, which a forward pass over the lattice of matching pieces computes for all
 languages at once. Texts are lower-cased, marked and cut into chunks that no piece crosses, so the sum over the whole
-text is a product over chunks, and a chunk is computed once a task. Chunks may have any length: those of more than
+text is a product over chunks, and a chunk is computed once a Python worker, up to a bound. Chunks may have any length: those of more than
 ``SHORT`` characters are summed as logarithms.
 
 Training counts every chunk of every labelled text, weighs the pieces of a chunk by their posterior under the
@@ -17,6 +17,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain
 
 import ahocorasick
@@ -177,6 +178,21 @@ class LanguageModel:
     prior: np.ndarray  # log, by language
 
 
+@dataclass
+class _Shared:
+    """What the tasks need; a Python worker builds it once, for all tasks that it runs with this broadcast value."""
+
+    arguments: tuple
+
+    @cached_property
+    def lattice(self) -> Lattice:
+        return Lattice(self.arguments[0])
+
+    @cached_property
+    def identifier(self) -> Identifier:
+        return Identifier(*self.arguments)
+
+
 def _base(scores: Sequence[int]) -> np.ndarray:
     weight = np.exp(np.array(scores, float) / UNIT)
     return np.append(weight / weight.sum(), math.exp(UNKNOWN))
@@ -192,11 +208,10 @@ def fit_languages(
     spark = prepare(docs.sparkSession)
     vocabulary = read_vocabulary(model_path)
     pieces, base = [vocabulary.pieces[i] for i in vocabulary.scores], _base(list(vocabulary.scores.values()))
-    shared = spark.sparkContext.broadcast((pieces, base))
+    shared = spark.sparkContext.broadcast(_Shared((pieces, base)))
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, base = shared.value
-        lattice = Lattice(names)
+        lattice, base = shared.value.lattice, shared.value.arguments[1]
         seen: dict[str, Counter] = {}
         documents: Counter = Counter()
 
@@ -293,13 +308,13 @@ def identify_languages(
     in alphabetical order. Nothing is shuffled; other columns, also one named ``lang``, are not read.
     """
     spark = prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast((model.languages, model.pieces, model.probability, model.prior))
+    shared = spark.sparkContext.broadcast(_Shared((model.languages, model.pieces, model.probability, model.prior)))
     schema = T.StructType(
         [*[docs.select(k).schema[0] for k in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     )
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        identifier = Identifier(*shared.value)
+        identifier = shared.value.identifier
         for batch in batches(source):
             names, scores = identifier.identify(batch.column(text).to_pylist())
             columns = [*[batch.column(k) for k in keep], pa.array(names, pa.string()), pa.array(scores, pa.float64())]

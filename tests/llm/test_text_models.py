@@ -339,3 +339,15 @@ def test_lm_of_messy_rows(spark, messy, no_docs):
     untaught = ngram_lm.score_texts(messy, F.lit(False)).collect()
     assert len(untaught) == len(MESSY) and all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in untaught)
     assert ngram_lm.score_texts(no_docs, F.lit(True)).count() == 0
+
+
+def test_a_worker_builds_the_identifier_once(spark):
+    """Tasks that run one after the other in a Python worker share the automaton and the sums of chunks they have met."""
+    import os
+
+    pieces = ["\u2581", "a", "b"]
+    shared = spark.sparkContext.broadcast(
+        language_id._Shared((["x", "y"], pieces, np.full((4, 2), 0.25), np.log([0.5, 0.5])))
+    )
+    seen = spark.sparkContext.parallelize(range(60), 60).map(lambda _: (os.getpid(), id(shared.value.identifier))).collect()
+    assert len(set(seen)) == len({pid for pid, _ in seen}) < 60
