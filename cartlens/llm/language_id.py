@@ -20,7 +20,6 @@ from dataclasses import dataclass
 from functools import cached_property
 from itertools import chain
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +28,7 @@ from pyspark.sql import types as T
 
 from cartlens.llm.common import batches, prepare
 from cartlens.llm.pieces import MODEL_PATH, UNIT, chunk_pattern, marked, read_vocabulary
+from cartlens.llm.sentencepiece_codec import build_double_array
 
 #: Products over longer chunks could fall below the smallest double.
 SHORT = 32
@@ -48,10 +48,13 @@ class Lattice:
     """All segmentations of chunks; ``pieces`` in id order, the unknown character is id len(pieces)."""
 
     def __init__(self, pieces: Sequence[str]) -> None:
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for number, piece in enumerate(pieces):
-            self.automaton.add_word(piece, number << 8 | len(piece))
-        self.automaton.make_automaton()
+        codes, base, check, value = build_double_array({piece: number for number, piece in enumerate(pieces)})
+        # One more point for characters of no piece, and cells behind the last state for all codes.
+        self.code_of = np.zeros(max(map(ord, codes), default=0) + 2, np.int32)
+        self.code_of[[ord(c) for c in codes]] = list(codes.values())
+        self.base, self.value = np.array(base, np.int32), np.array(value, np.int32)
+        self.check = np.append(np.array(check, np.int32), np.full(len(codes) + 1, -1, np.int32))
+        self.check[0] = -1  # nothing leads to the root
         self.unknown = len(pieces)
         self.pattern = chunk_pattern(pieces)
 
@@ -60,36 +63,48 @@ class Lattice:
         return self.pattern.findall(marked(text.lower())) if text else []
 
     def arcs(self, chunks: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """chunk, start, end and piece of every arc, by chunk.
+        """chunk, start, end and piece of every arc, longer arcs first.
 
-        The automaton reads all chunks as one text; the separator is no part of any piece.
+        The trie is walked from all characters of all chunks at once; a separator, part of no piece, ends each chunk.
         """
         sizes = np.array([len(c) for c in chunks])
         first = np.cumsum(sizes + 1) - sizes - 1
-        found = np.fromiter(chain.from_iterable(self.automaton.iter(_SEPARATOR.join(chunks))), np.int64).reshape(-1, 2)
+        points = np.frombuffer((_SEPARATOR.join(chunks) + _SEPARATOR).encode("utf-32-le", "surrogatepass"), np.uint32)
+        code = self.code_of[np.minimum(points, len(self.code_of) - 1)]
+        code[first + sizes] = 0
         owner = np.repeat(np.arange(len(chunks)), sizes + 1)
-        last, length, number = found[:, 0], found[:, 1] & 255, found[:, 1] >> 8
-        single = np.zeros(len(owner), bool)
-        single[last[length == 1]] = True
+        at = np.arange(len(code))
+        state, single, found, depth = np.zeros(len(code), np.int32), np.zeros(len(code), bool), [], 0
+        while len(at):
+            after = self.base[state] + code[at + depth]
+            fits = np.flatnonzero(self.check[after] == state)
+            at, state = at[fits], after[fits]
+            depth += 1
+            number = self.value[state]
+            ends = np.flatnonzero(number >= 0)
+            found.append((at[ends], np.full(len(ends), depth), number[ends]))
+            if depth == 1:
+                single[at[ends]] = True
         single[first + sizes] = True  # separators
         alone = np.flatnonzero(~single)
-        which = np.concatenate([owner[last], owner[alone]])
-        end = np.concatenate([last, alone]) + 1 - first[which]
-        start = end - np.concatenate([length, np.ones(len(alone), np.int64)])
-        return which, start, end, np.concatenate([number, np.full(len(alone), self.unknown)])
+        found = [*reversed(found), (alone, np.ones(len(alone), np.int64), np.full(len(alone), self.unknown))]
+        begin, length, number = (np.concatenate(column) for column in zip(*found, strict=True))
+        which = owner[begin]
+        start = begin - first[which]
+        return which, start, start + length, number
 
 
 def _groups(chunks: Sequence[str]) -> Iterator[list[int]]:
     """Numbers of chunks by length, in groups whose tables are bounded (one longer chunk stays whole)."""
-    group: list[int] = []
-    for k in sorted(range(len(chunks)), key=lambda k: len(chunks[k])):
-        n = len(chunks[k])
-        if group and ((len(group) + 1) * (n + 1) > _CELLS or len(group) == _GROUP or len(chunks[group[0]]) <= SHORT < n):
-            yield group
-            group = []
-        group.append(k)
-    if group:
-        yield group
+    sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+    order = np.argsort(sizes, kind="stable")
+    sizes, low = sizes[order], 0
+    short = int(np.searchsorted(sizes, SHORT, "right"))
+    while low < len(order):
+        ahead = sizes[low : min(low + _GROUP, short if low < short else len(order))]
+        high = low + max(1, int(np.searchsorted(np.arange(1, len(ahead) + 1) * (ahead + 1), _CELLS, "right")))
+        yield order[low:high].tolist()
+        low = high
 
 
 def _by_step(which, here) -> np.ndarray:
@@ -219,7 +234,11 @@ def fit_languages(
             languages = sorted(seen)
             chunks = sorted({c for counts in seen.values() for c in counts})
             if chunks:
-                weights = np.array([[seen[name].get(c, 0) for name in languages] for c in chunks], float)
+                place = {c: k for k, c in enumerate(chunks)}
+                weights = np.zeros((len(chunks), len(languages)))
+                for k, counts in enumerate(map(seen.__getitem__, languages)):
+                    at = np.fromiter(map(place.__getitem__, counts), np.int64, len(counts))
+                    weights[at, k] = np.fromiter(counts.values(), float, len(counts))
                 total = expected_counts(lattice, chunks, weights, base)
                 language, piece = np.nonzero(total)
                 yield rows([languages[k] for k in language], piece, total[language, piece])
@@ -265,34 +284,40 @@ class Identifier:
         self.lattice, self.languages = Lattice(pieces), languages
         self.probability, self.prior = probability, prior
         self.rows: dict[str, int] = {}
-        self.logs: list[np.ndarray] = []
+        self._table = np.zeros((0, len(languages)))
+
+    @property
+    def logs(self) -> list[np.ndarray]:
+        return [self._table[: len(self.rows)]]
 
     def _learn(self, chunks: list[str]) -> None:
+        need = len(self.rows) + len(chunks)
+        if need > len(self._table):  # grows by doubling, so that it is seldom copied
+            self._table = np.concatenate([*self.logs, np.empty((need + max(need, 4096) - len(self.rows), len(self.languages)))])
         for part in _groups(chunks):
             group = [chunks[k] for k in part]
             arcs, sizes = self.lattice.arcs(group), np.array([len(c) for c in group])
             long = sizes.max() > SHORT
             _, whole = (log_forward if long else forward)(arcs, sizes, self.probability)
-            for chunk in group:
-                self.rows[chunk] = len(self.rows)
-            self.logs.append(whole if long else np.log(np.maximum(whole, 1e-300)))
+            low = len(self.rows)
+            self.rows.update(zip(group, range(low, low + len(group)), strict=True))
+            self._table[low : low + len(group)] = whole if long else np.log(np.maximum(whole, 1e-300))
 
     def identify(self, texts: Sequence[str | None]) -> tuple[list[str], list[float]]:
         """Language and its posterior; ``und`` and 0 for a null text or one without a letter."""
         if len(self.rows) > _HELD:
-            self.rows, self.logs = {}, []
+            self.rows = {}
         cut = [self.lattice.chunks(t) if t and self.languages and any(map(str.isalpha, t)) else [] for t in texts]
         fresh = set(chain.from_iterable(cut)).difference(self.rows)
         if fresh:
             self._learn(list(fresh))
-            self.logs = [np.concatenate(self.logs)]
         names, scores = [], []
         for chunks in cut:
             if not chunks:
                 names.append(UNDETERMINED)
                 scores.append(0.0)
                 continue
-            total = self.prior + self.logs[0][np.fromiter(map(self.rows.__getitem__, chunks), np.int64, len(chunks))].sum(axis=0)
+            total = self.prior + self._table[np.fromiter(map(self.rows.__getitem__, chunks), np.int64, len(chunks))].sum(axis=0)
             best = int(total.argmax())
             names.append(self.languages[best])
             scores.append(float(1.0 / np.exp(total - total[best]).sum()))

@@ -206,6 +206,35 @@ def test_long_chunks_are_not_cut():
     assert math.isclose(one[0][0] + 2 * one[0][1], 1000, rel_tol=1e-9)
 
 
+def test_arcs_are_all_places_of_pieces():
+    pieces = ["a", "b", "ab", "ba", "aba", "\U0001f600", "aaaa"]
+    lattice = language_id.Lattice(pieces)
+    chunks = ["abab", "c", "aaaaa\x00", "\U0010ffff\U0001f600b", "a" * 50]
+    want = Counter()
+    for k, chunk in enumerate(chunks):
+        for start in range(len(chunk)):
+            hits = [n for n, piece in enumerate(pieces) if chunk.startswith(piece, start)]
+            want.update((k, start, start + len(pieces[n]), n) for n in hits)
+            if chunk[start] not in pieces:
+                want[k, start, start + 1, lattice.unknown] += 1
+    assert Counter(zip(*(column.tolist() for column in lattice.arcs(chunks)), strict=True)) == want
+    assert [len(column) for column in language_id.Lattice([]).arcs(["xy"])] == [2] * 4
+
+
+def test_sums_of_chunks_are_seldom_copied():
+    """Batch after batch of new chunks goes into one table that grows by doubling."""
+    model = language_id.Identifier(["x", "y"], ["a", "b"], np.full((3, 2), 0.25), np.zeros(2))
+    words = ["a" * n + "b" * m for n in range(1, 30) for m in range(1, 30)]
+    tables = []
+    for k in range(0, len(words), 10):
+        model.identify(words[k : k + 10])
+        tables.append(model.logs[0])
+    assert len({t.__array_interface__["data"][0] for t in tables}) < 10 < len(tables)
+    logs = np.concatenate(model.logs)
+    assert len(logs) == len(model.rows)
+    assert all(np.allclose(logs[k], len(chunk) * np.log(0.25)) for chunk, k in model.rows.items() if "\u2581" not in chunk)
+
+
 def test_languages_held_out(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     rows = QUERIES["op5_language_id"](spark, sf_dir).join(docs, "doc_id").where("held_out").collect()
