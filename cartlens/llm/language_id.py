@@ -130,18 +130,21 @@ def _log_sweep(which, here, there, gains, table, steps) -> None:
         table[chunk[first], step] = top + np.log(np.add.reduceat(shifted, first, axis=0))
 
 
-def _sweep(which, here, there, gains, table, steps) -> None:
-    """table[chunk, here] += table[chunk, there] * gains, for ``here`` in ``steps`` order."""
+def _sweep(which, here, there, gains, number, table, steps) -> None:
+    """table[chunk, here] += table[chunk, there] * gains[number], for ``here`` in ``steps`` order."""
     order = _by_step(which, here)
-    which, here, there, gains = which[order], here[order], there[order], gains[order]
+    which, here, there, number = (column.take(order) for column in (which, here, there, number))
     cuts = np.searchsorted(here, np.arange(table.shape[1] + 1))
+    source, cells = which * table.shape[1] + there, table.reshape(-1, table.shape[2])
     for step in steps:
         lo, hi = cuts[step], cuts[step + 1]
         if lo == hi:
             continue
         chunk = which[lo:hi]
         first = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
-        table[chunk[first], step] += np.add.reduceat(table[chunk, there[lo:hi]] * gains[lo:hi], first, axis=0)
+        terms = cells.take(source[lo:hi], axis=0)
+        terms *= gains.take(number[lo:hi], axis=0)
+        table[chunk[first], step] += np.add.reduceat(terms, first, axis=0)
 
 
 def forward(arcs, sizes: np.ndarray, probability: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +152,7 @@ def forward(arcs, sizes: np.ndarray, probability: np.ndarray) -> tuple[np.ndarra
     which, start, end, number = arcs
     alpha = np.zeros((len(sizes), int(sizes.max()) + 1, probability.shape[1]))
     alpha[:, 0] = 1.0
-    _sweep(which, end, start, probability[number], alpha, range(1, alpha.shape[1]))
+    _sweep(which, end, start, probability, number, alpha, range(1, alpha.shape[1]))
     return alpha, alpha[np.arange(len(sizes)), sizes]
 
 
@@ -178,7 +181,7 @@ def expected_counts(lattice: Lattice, chunks: Sequence[str], weights: np.ndarray
             alpha, whole = forward(arcs, sizes, base[:, None])
             beta = np.zeros_like(alpha)
             beta[np.arange(len(group)), sizes] = 1.0
-            _sweep(which, start, end, base[number][:, None], beta, range(beta.shape[1] - 2, -1, -1))
+            _sweep(which, start, end, base[:, None], number, beta, range(beta.shape[1] - 2, -1, -1))
             share = alpha[which, start, 0] * base[number] * beta[which, end, 0] / whole[which, 0]
         for language in range(weights.shape[1]):
             total[language] += np.bincount(number, share * weights[part, language][which], len(total[language]))
