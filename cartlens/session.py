@@ -21,6 +21,11 @@ TASK_BYTES = 16 << 20
 ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 #: A join whose smaller side has no partition above this is hashed: neither side is sorted.
 HASHED = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+#: Shuffle partitions that adaptive execution starts from at least and then merges, so that few partitions set for small
+#: tables do not make tasks grow with the input.
+LEAST_PARTITIONS = 200
+PARTITIONS = "spark.sql.shuffle.partitions"
+INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 _UNITS = {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
 
 
@@ -31,13 +36,17 @@ def _bytes(size: str) -> int:
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to an existing session and return it. Smaller tasks than ours stay as they are set."""
+    """Apply the runtime settings to an existing session and return it. Smaller and more tasks than ours stay as they
+    are set."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
     if _bytes(spark.conf.get(ADVISORY)) > TASK_BYTES:
         spark.conf.set(ADVISORY, str(TASK_BYTES))
     if _bytes(spark.conf.get(HASHED)) < TASK_BYTES:
         spark.conf.set(HASHED, str(TASK_BYTES))
+    partitions = int(spark.conf.get(PARTITIONS))
+    if int(spark.conf.get(INITIAL, None) or partitions) < max(partitions, LEAST_PARTITIONS):
+        spark.conf.set(INITIAL, str(max(partitions, LEAST_PARTITIONS)))
     return spark
 
 

@@ -415,3 +415,20 @@ def test_tasks_of_distinct_counts_are_bounded(spark):
     finally:
         for k, v in zip(keys, before):
             spark.conf.set(k, v)
+
+
+def test_few_partitions_are_raised_and_merged(spark):
+    from cartlens.session import INITIAL, LEAST_PARTITIONS, PARTITIONS, tune
+
+    few = spark.conf.get(PARTITIONS)
+    fresh = spark.newSession()
+    fresh.conf.set(PARTITIONS, "12")
+    fresh.conf.unset(INITIAL)
+    assert tune(fresh).conf.get(INITIAL) == str(LEAST_PARTITIONS)
+    out = fresh.range(1000).groupBy((F.col("id") % 100).alias("k")).count()
+    assert out.rdd.getNumPartitions() < LEAST_PARTITIONS and out.count() == 100
+    assert f", {LEAST_PARTITIONS})" in out._jdf.queryExecution().executedPlan().toString()
+    # More partitions than that hold, also when they are set later.
+    fresh.conf.set(PARTITIONS, "500")
+    assert tune(fresh).conf.get(INITIAL) == "500"
+    assert spark.conf.get(PARTITIONS) == few
