@@ -87,13 +87,9 @@ def compute_rating_summary(
     if group_col:
         keys = as_list(group_col)
         order = [("mean_rating", False), *[(k, True) for k in keys]]
-        return (
-            drop_null_keys(work, keys)
-            .groupBy(*keys)
-            .agg(*summary)
-            .filter(F.col("review_count") >= min_reviews)
-            .orderBy(*sort_columns(order))
-        )
+        rated = drop_null_keys(work, keys).groupBy(*keys).agg(*summary).filter(F.col("review_count") >= min_reviews)
+        # Sorting reads its input twice, for the ranges and for the rows.
+        return stage(rated, "ratings").orderBy(*sort_columns(order))
     medians = F.broadcast(exact_quantiles(work, {"median": (rating_col, 0.5)}))
     return {
         "overall": work.agg(mean(work, rating_col).alias("mean")).crossJoin(medians),

@@ -432,3 +432,11 @@ def test_few_partitions_are_raised_and_merged(spark):
     fresh.conf.set(PARTITIONS, "500")
     assert tune(fresh).conf.get(INITIAL) == "500"
     assert spark.conf.get(PARTITIONS) == few
+
+
+def test_ratings_are_grouped_once_and_then_sorted(spark):
+    df = spark.createDataFrame([("a", 5), ("a", 3), ("b", 5), ("b", 5), (None, 1), ("c", None)], "k string, r int")
+    out = customers.compute_rating_summary(df, "r", "k", min_reviews=2)
+    assert [tuple(r) for r in out.collect()] == [("b", 5.0, 2), ("a", 4.0, 2)]
+    # Sorting reads its input twice: it must not be the grouping.
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
